@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import boilerplate, canonical, pagetext, truncation
+from pagemill.llm import boilerplate, canonical, leaks, packing, pagetext, truncation
 from pagemill.runtime import Query, table, written
 
 
@@ -48,6 +48,27 @@ def p6_limits(spark, root):
     return truncation.limits(truncation.page_records(pages).unionByName(ends))
 
 
+def p7_packed(spark, root):
+    counts = written(packing.token_counts(table(spark, root, "documents")), "token-counts")
+    return packing.pack(counts, table(spark, root, "pack_capacities"))
+
+
+def p7_fill(spark, root):
+    return packing.fill_rates(p7_packed(spark, root))
+
+
+def p8_found(spark, root):
+    return leaks.found(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_passages(spark, root):
+    return leaks.passages(table(spark, root, "documents"), table(spark, root, "eval_items")).distinct()
+
+
+def p8_items(spark, root):
+    return leaks.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -58,6 +79,11 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_sites": p6_sites,
     "p6_limits": p6_limits,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p8_items": p8_items,
 }
 
 _BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
