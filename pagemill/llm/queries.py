@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import boilerplate, canonical, leaks, packing, pagetext, truncation
+from pagemill.llm import boilerplate, canonical, leaks, packing, pagetext, pii, truncation
 from pagemill.runtime import Query, table, written
 
 
@@ -69,6 +69,14 @@ def p8_items(spark, root):
     return leaks.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p9_found(spark, root):
+    return pii.found(table(spark, root, "documents"))
+
+
+def p9_redacted(spark, root):
+    return pii.redacted(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -84,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
