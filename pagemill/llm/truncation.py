@@ -55,21 +55,18 @@ def limits(records: DataFrame) -> DataFrame:
     return best.select("field", "site", "b.*")
 
 
-def page_endings(pages: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(result_id, site, text, ending, unfinished, cut) of body pages with text.
+def page_endings(pages: DataFrame, seen: DataFrame, furniture: DataFrame) -> DataFrame:
+    """(result_id, ending, cut) of body pages that end unfinished.
 
-    ``ending``: the last line that is no running header and no page number. ``cut``: unfinished, and the book's next
-    page does not continue it.
+    ``ending``: the last line that is no running header and no page number. ``cut``: the book's next page does not
+    continue it. ``seen``, ``furniture``: as of :mod:`pagemill.llm.pagetext`.
     """
-    body = pages.where(pagetext.BODY).where(~pagetext.title_pages(pages)).dropDuplicates(["result_id"])
-    open_ended = body.where(~F.col("text").rlike(SENTENCE_END) & F.col("text").rlike(r"\S"))
-    tails = pagetext.zone_lines(open_ended).where(f"from_foot < {pagetext.ZONE}").join(furniture, ["result_id", "line_no"], "left_anti")
+    tails = seen.where("what = 'foot'").select("result_id", "book_id", "page", "line_no", F.col("left").alias("line")).join(furniture, ["result_id", "line_no"], "left_anti")
     ends = tails.groupBy("result_id", "book_id", "page").agg(F.max_by("line", "line_no").alias("ending")).where(
-        ~F.col("ending").rlike(SENTENCE_END) & ~F.col("ending").rlike(r"\A\s*#|\A\s*Chapter\s[^:]*:") & ~F.col("ending").rlike(pagetext.CHAPTER_NUMERAL)
+        ~F.col("ending").rlike(SENTENCE_END) & ~F.col("ending").rlike(r"\A\s*(?:#|Chapter\s[^:]*:|[IVXLC]+\.?\s*\z)")
     )
     goes_on = pages.where("page_continues_previous").select("book_id", (F.col("page") - 1).alias("page")).distinct().withColumn("goes_on", F.lit(True))
-    ends = ends.join(goes_on, ["book_id", "page"], "left").select("result_id", "ending", F.col("goes_on").isNull().alias("cut"))
-    return ends
+    return ends.join(goes_on, ["book_id", "page"], "left").select("result_id", "ending", F.col("goes_on").isNull().alias("cut"))
 
 
 def note_endings(notes: DataFrame) -> DataFrame:
@@ -105,8 +102,9 @@ def complete_pairs(endings: DataFrame) -> DataFrame:
 
 def found(pages: DataFrame, notes: DataFrame, books: DataFrame) -> DataFrame:
     """(field, row_id, site): ``page_text`` with result_id, ``note`` with note_id. Null and blank texts are no case."""
-    marks = written(pagetext.furniture(pages, books), "furniture")
-    ends = page_endings(pages, marks).where("cut").select(F.lit("page_text").alias("field"), F.col("result_id").alias("row_id"))
+    seen = written(pagetext.scan(pages), "page-scan")
+    marks = written(pagetext.furniture(seen, books), "furniture")
+    ends = page_endings(pages, seen, marks).where("cut").select(F.lit("page_text").alias("field"), F.col("result_id").alias("row_id"))
     endings = written(note_endings(notes), "note-endings")
     own = limits(endings.select(F.lit("note").alias("field"), "site", "text", "unfinished")).where("encoding = 'characters'").select("site", "n_limit")
     complete = complete_pairs(endings)
