@@ -47,15 +47,21 @@ def with_previous(rows: DataFrame, key: str, order: list[str], value: Column, na
     return out.withColumn(name, F.when(F.col("_r") == 1, F.col("_p")).otherwise(F.col("_w"))).drop(_S, "_v", "_w", "_r", "_p")
 
 
-def nearest_smaller(rows: DataFrame, key: str, ord_: str, level: str, levels: int, name: str = "parent", page: str = "page", size: int = STRETCH) -> DataFrame:
-    """``rows`` with the ``ord_`` of the nearest earlier row of a smaller level (1..levels); null at the top."""
+def running_max(rows: DataFrame, key: str, ord_: str, values: dict, page: str = "page", size: int = STRETCH) -> DataFrame:
+    """``rows`` with ``last_<name>``: the largest value of each expression over the key's earlier rows."""
     rows = stretched(rows, page, size)
-    seen = {i: F.when(F.col(level) == i, F.col(ord_)) for i in range(1, levels)}
-    last = rows.groupBy(key, _S).agg(*(F.max(e).alias(f"_m{i}") for i, e in seen.items()))
+    last = rows.groupBy(key, _S).agg(*(F.max(e).alias(f"_m{i}") for i, e in values.items()))
     before = Window.partitionBy(key).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
-    base = last.select(key, _S, *(F.max(f"_m{i}").over(before).alias(f"_b{i}") for i in seen))
+    base = last.select(key, _S, *(F.max(f"_m{i}").over(before).alias(f"_b{i}") for i in values))
     own = Window.partitionBy(key, _S).orderBy(ord_).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumns({f"_o{i}": F.max(e).over(own) for i, e in seen.items()}).join(base, [key, _S])
+    out = rows.withColumns({f"_o{i}": F.max(e).over(own) for i, e in values.items()}).join(base, [key, _S])
+    return out.withColumns({f"last_{i}": F.greatest(f"_o{i}", f"_b{i}") for i in values}).drop(_S, *(f"_{p}{i}" for p in "ob" for i in values))
+
+
+def nearest_smaller(rows: DataFrame, key: str, ord_: str, level: str, levels: int, name: str = "parent", page: str = "page", size: int = STRETCH) -> DataFrame:
+    """``rows`` with the ``ord_`` of the nearest earlier row of a smaller level (1..levels); null at the top."""
+    seen = {i: F.when(F.col(level) == i, F.col(ord_)) for i in range(1, levels)}
+    out = running_max(rows, key, ord_, seen, page, size)
     none = F.lit(None).cast(dict(rows.dtypes)[ord_])
-    found = F.greatest(none, none, *(F.when(F.col(level) > i, F.greatest(F.col(f"_o{i}"), F.col(f"_b{i}"))) for i in seen))
-    return out.withColumn(name, found).drop(_S, *(f"_{p}{i}" for p in "ob" for i in seen))
+    found = F.greatest(none, none, *(F.when(F.col(level) > i, F.col(f"last_{i}")) for i in seen))
+    return out.withColumn(name, found).drop(*(f"last_{i}" for i in seen))
