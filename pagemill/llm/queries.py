@@ -48,7 +48,7 @@ def p6_limits(spark, root):
     from pyspark.sql import functions as F
 
     pages, notes = table(spark, root, "page_results"), table(spark, root, "page_notes")
-    ends = written(truncation.note_endings(notes), "note-endings").select(F.lit("note").alias("field"), "site", "text", "unfinished")
+    ends = truncation.judged_endings(notes).select(F.lit("note").alias("field"), "site", "text", F.expr("unfinished AND NOT complete").alias("unfinished"))
     return truncation.limits(truncation.page_records(pages).unionByName(ends))
 
 

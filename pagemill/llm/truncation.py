@@ -100,18 +100,23 @@ def complete_pairs(endings: DataFrame) -> DataFrame:
     return seen.groupBy("pair").agg(F.count("*").alias("n"), F.count_if("final").alias("f")).where(f"n >= {FINAL_SEEN} AND f >= {FINAL_SHARE} * n").select("pair")
 
 
+def judged_endings(notes: DataFrame) -> DataFrame:
+    """:func:`note_endings`, written, with ``complete``: unfinished by its punctuation, but shown complete by the corpus."""
+    endings = written(note_endings(notes), "note-endings")
+    complete = complete_pairs(endings).withColumn("complete", F.lit(True))
+    return written(endings.join(complete, "pair", "left").withColumn("complete", F.coalesce("complete", F.lit(False))), "judged-endings")
+
+
 def found(pages: DataFrame, notes: DataFrame, books: DataFrame) -> DataFrame:
     """(field, row_id, site): ``page_text`` with result_id, ``note`` with note_id. Null and blank texts are no case."""
     seen = written(pagetext.scan(pages), "page-scan")
     marks = written(pagetext.furniture(seen, books), "furniture")
     ends = page_endings(pages, seen, marks).where("cut").select(F.lit("page_text").alias("field"), F.col("result_id").alias("row_id"))
-    endings = written(note_endings(notes), "note-endings")
-    own = limits(endings.select(F.lit("note").alias("field"), "site", "text", "unfinished")).where("encoding = 'characters'").select("site", "n_limit")
-    complete = complete_pairs(endings)
+    endings = judged_endings(notes)
+    own = limits(endings.select(F.lit("note").alias("field"), "site", "text", F.expr("unfinished AND NOT complete").alias("unfinished"))).where("encoding = 'characters'").select("site", "n_limit")
     open_notes = (
         endings.where("unfinished").join(checked_small(own, "note-limits"), "site", "left")
-        .join(complete.withColumn("complete", F.lit(True)), "pair", "left")
-        .where((F.length("text") == F.col("n_limit")) | F.col("complete").isNull())
+        .where((F.length("text") == F.col("n_limit")) | ~F.col("complete"))
         .select(F.lit("note").alias("field"), F.col("note_id").alias("row_id"))
     )
     return ends.unionByName(open_notes).distinct()
