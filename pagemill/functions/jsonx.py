@@ -34,13 +34,11 @@ def repair(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """What may be the JSON of a reply, in the order to try: all of it without a code fence, from the first brace to
-    the last, and both repaired."""
+    """What may be the JSON of a reply, in the order to try: all of it without a code fence, and from the first brace to
+    the last."""
     bare = tx.strip(tx.text_or_empty(text))
-    bare = F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(bare, rf"\A```(?:json)?{tx.WS}*", ""), rf"{tx.WS}*```\z", "")).otherwise(bare)
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    tries = F.array(bare, inner)
-    return F.array_distinct(F.filter(F.concat(tries, F.transform(tries, repair)), lambda c: c != ""))
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"\A```(?:json)?{tx.WS}*", ""), rf"(?s)\A((?!```).*?){tx.WS}*```\z", "$1")
+    return F.transform(F.array(bare), lambda b: F.array(b, F.regexp_extract(b, r"(?s)(\{.*\})", 1)))[0]
 
 
 def _first_parse(tries: list[str] | None) -> str | None:
@@ -62,7 +60,9 @@ def parse(text: Column) -> Column:
     def run(tries: pd.Series) -> pd.Series:
         return tries.map(_first_parse)
 
-    return run(candidates(text))
+    first = run(candidates(text))
+    # Only what did not read is repaired and tried again.
+    return F.coalesce(first, run(F.when(first.isNull(), F.transform(candidates(text), repair))))
 
 
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}

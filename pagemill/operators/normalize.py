@@ -74,9 +74,10 @@ def with_blocks(rows: DataFrame, raw: str = "raw_blocks", text: str = "text", ou
         tx.cleanup(b["text"]).alias("text"), tx.truthy(b["continued_from_previous"]).alias("continued_from_previous"), markers(b["note_markers"]).alias("note_markers")))
     rows = rows.withColumn("_typed", F.coalesce(typed, F.array().cast(f"array<{BLOCK}>")))
     have = F.aggregate("_typed", F.lit(0), lambda n, b: n + tx.coverage_length(b["text"]))
-    rows = with_rebuilt(rows.withColumns({"_whole": tx.coverage_length(F.col(text)), "_have": have}), "_typed", text, "_again")
-    chosen = F.when(F.size("_typed") == 0, blocks_from_text(F.col(text))).when((F.col("_whole") > 0) & (F.col("_have") < F.col("_whole") * LEAST_COVERAGE) & (F.size("_again") > 0), F.col("_again")).otherwise(F.col("_typed"))
-    return rows.withColumn(out, chosen).drop("_typed", "_whole", "_have", "_again")
+    short = (F.size("_typed") > 0) & (have < tx.coverage_length(F.col(text)) * LEAST_COVERAGE)
+    rows = with_rebuilt(rows.withColumn("_short", F.when(short, F.col(text))), "_typed", "_short", "_again")  # null text: no work
+    chosen = F.when(F.size("_typed") == 0, blocks_from_text(F.col(text))).when(F.size("_again") > 0, F.col("_again")).otherwise(F.col("_typed"))
+    return rows.withColumn(out, chosen).drop("_typed", "_short", "_again")
 
 
 def notes(raw: Column) -> Column:

@@ -11,7 +11,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import normalize, replies, toc
 from pagemill.operators.pages import unique_pages
 from pagemill.plans.text_queries import PAGES_SQL, WS_SQL, cleanup_sql, strip_sql
-from pagemill.runtime import Query, shared_dir, table
+from pagemill.runtime import Query, shared_dir, table, written
 from pagemill.sinks import epub
 from pagemill.sources import files, providers
 from pagemill.streaming import monitors, repetition, retry
@@ -207,7 +207,7 @@ def nav_items(spark, root):
 
 def flagship(spark, root):
     """Replies to a finished contents list: parse, normalise, candidates, filter, rule plan, nesting."""
-    n = replies.normalised(responses(spark, root)).where("status = 'ok'")
+    n = written(replies.normalised(responses(spark, root)).where("status = 'ok'"), "pages")
     plan = toc.rule_plan(toc.filtered(toc.candidates(n)))
     return toc.nested(plan.withColumnRenamed("label", "text")).select(*toc.KEYS, "text", "nav_level", "parent")
 
