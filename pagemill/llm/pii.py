@@ -277,7 +277,8 @@ STREET_LINE = re.compile(
     rf"(?:[Ff]lat\s+\d+\w?,?\s+)?(?:\d+[A-Z]?\s+[A-Z][\w-]+\s+{STREET}(?!\w)|[Cc]alle\s+[A-Z][\w-]+\s+\d+\w?|[A-Z][\w-]*stra(?:ß|ss)e\s+\d+\w?|\d+\w?,?\s+rue\s+(?:des|de la|du|de)\s+[A-Z][\w-]+)"
     rf"(?:,\s+(?:\d{{4,5}}\s+[A-Z][\w-]+|[A-Z][\w-]+(?:\s+\d{{4,5}})?)|\n\s*(?:\d{{4,5}}\s+[A-Z][\w-]+|[A-Z][\w-]+\s+\d{{4,5}})(?=\s*(?:\n|$)))?"
 )
-NAME_JOIN = re.compile(r"[A-Z]\.?")
+SMALL_WORD = re.compile(r"\b[a-zà-ÿ]{3,}\b")
+PLACE_WORD = re.compile(r"\b(?:in|from|at|near|for|aus|de|à|en|that)\s+([A-Z][a-z]{3,})\b(?!\s+[A-Z])")
 
 
 def header_names(raw: str) -> list[list[str]]:
@@ -301,8 +302,9 @@ def _encoded(m: re.Match) -> str:
         return m[3]
 
 
-def gold(clean: str, part: Chain, names: frozenset[str]) -> list[int]:
-    """Labels of a stretch of a sample message, by header names, shapes and cue words."""
+def gold(clean: str, part: Chain, names: frozenset[str], common: frozenset[str] = frozenset()) -> list[int]:
+    """Labels of a stretch of a sample message, by header names, shapes and cue words. ``common``: words that the sample
+    also writes small or uses as places, which are never taken for unknown surnames."""
     n = len(part.tokens)
     y = [O] * n
     spans = [m.span() for m in STREET_LINE.finditer(clean, max(0, part.starts[0] if n else 0), part.ends[-1] if n else 0)]
@@ -321,16 +323,22 @@ def gold(clean: str, part: Chain, names: frozenset[str]) -> list[int]:
     for i, token in enumerate(part.tokens):
         if y[i] == O and token[:1].isupper() and token.lower() in names and not (i + 1 < n and part.tokens[i + 1].lower() in NAMED_AFTER):
             y[i] = I_NAME
-    for i, token in enumerate(part.tokens):  # initials and unknown words inside a name
-        if y[i] == O and token[:1].isupper() and token[:1].isalpha():
-            left, right = i and y[i - 1] == I_NAME, i + 1 < n and y[i + 1] == I_NAME
-            dot_right = i + 2 < n and part.tokens[i + 1] == "." and y[i + 2] == I_NAME
-            if len(token) == 1 and (left or right or dot_right) and token != "I":
-                y[i] = I_NAME
-                if dot_right:
-                    y[i + 1] = I_NAME
-            elif left and not part.spots[i] & 1 and len(token) > 3 and re.search(r"(?i)wrote|tel|has", " ".join(part.tokens[i + 1 : i + 3])):
-                y[i] = I_NAME
+    def name_like(i: int) -> bool:
+        """A capitalised word that is not written small anywhere in the sample and names no place or organisation."""
+        t = part.tokens[i] if i < n else ""
+        after = part.tokens[i + 1].lower() if i + 1 < n else ""
+        return i < n and y[i] == O and part.kinds[i] == WORD and len(t) > 3 and t[:1].isupper() and t.lower() not in common and t.lower() not in NAMED_AFTER and after not in NAMED_AFTER
+
+    gap = lambda i: clean[part.ends[i] : part.starts[i + 1]] if i + 1 < n else ""
+    for i, token in enumerate(part.tokens):
+        if len(token) == 1 and token.isupper() and i + 2 < n and part.tokens[i + 1] == "." and gap(i) == "" and (y[i + 2] == I_NAME or gap(i + 1).isspace() and name_like(i + 2)):
+            y[i] = y[i + 1] = y[i + 2] = I_NAME  # an initial and a surname
+        elif y[i] == I_NAME and gap(i) == " " and name_like(i + 1):
+            y[i + 1] = I_NAME  # a surname that no header of the sample has
+        elif y[i] == I_NAME and i >= 2 and part.tokens[i - 1] == "," and y[i - 1] == O and gap(i - 1) == " " and gap(i - 2) == "" and name_like(i - 2):
+            y[i - 1] = y[i - 2] = I_NAME
+        elif y[i] == I_NAME and i + 2 < n and len(part.tokens[i + 1]) == 1 and part.tokens[i + 1].isupper() and part.tokens[i + 2] == "." and gap(i).strip(" ") == "" and gap(i + 1) == "":
+            y[i + 1] = y[i + 2] = I_NAME  # a middle initial
     for i in range(1, n - 1):  # Last, First
         if part.tokens[i] == "," and y[i - 1] == I_NAME and y[i + 1] == I_NAME and not part.spots[i + 1] & 1:
             y[i] = I_NAME
@@ -617,15 +625,17 @@ def sample(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[str]:
 def train(raws: list[str], epochs: int = EPOCHS) -> Model:
     """A model fitted on sample messages: their header names and the shapes of values are the labels."""
     names = frozenset(w.lower() for raw in raws for words in header_names(raw) for w in words if len(w) > 2)
+    whole = [bodies(raw) for raw in raws]
+    common = frozenset(w for own in whole for b in own for w in SMALL_WORD.findall(b.clean)) | frozenset(w.lower() for own in whole for b in own for w in PLACE_WORD.findall(b.clean))
     chains, labels = [], []
-    for k, raw in enumerate(raws):
-        for body in bodies(raw):
+    for k, own in enumerate(whole):
+        for body in own:
             plain = {t for t in CAPITAL.findall(body.clean) if t.lower() not in names and zlib.crc32(f"{k}{t}".encode()) % PLAIN_LINES}
             for lo, hi in stretches(body.clean, plain):
                 part = chain(body.clean, lo, hi)
                 if part.tokens:
                     chains.append(part)
-                    labels.append(gold(body.clean, part, names))
+                    labels.append(gold(body.clean, part, names, common))
     return fit(chains, labels, epochs)
 
 
