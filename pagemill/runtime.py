@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,9 +15,20 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where it lies, whatever the working directory. On a cluster without
+    a shared file system the package goes with ``--py-files``."""
+    home = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+    return spark
+
+
 def build_session(app: str = "pagemill", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE, Arrow)."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
