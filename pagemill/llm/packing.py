@@ -28,7 +28,7 @@ from pagemill.runtime import written
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Groups of large sizes; a piece above this share of the capacity is large.
-GROUPS, SMALL = 40, 1 / 8
+GROUPS, SMALL = 200, 1 / 16
 #: Pieces numbered, or packed by best fit, in one task.
 SHARD = 40_000
 #: Distinct word pieces whose token count a task remembers.
