@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.operators import ordered
+from pagemill.runtime import written
 
 CHAPTER_ONLY = rf"\A第[{tx.HEADING_NUMERALS}]+章\z"
 
@@ -85,7 +86,7 @@ def elements(kept: DataFrame) -> DataFrame:
     """(book_id, page, result_id, block_index, slot, sub, kind, text, wants): everything the body shows, in its order.
 
     ``kind`` p, h, note or figure. A page's block comes first, then the notes and figures it takes; figures and notes
-    that found no block stand at the page's end. ``wants``: a first paragraph that continues the page before.
+    that found no block stand at the page's end. Written once to the shared folder. ``wants``: a first paragraph that continues the page before.
     """
     end = F.lit(ordered_end())
     blocks = kept.select("book_id", "page", "result_id", "page_continues_previous", F.explode("kept").alias("b")).select(
@@ -94,7 +95,8 @@ def elements(kept: DataFrame) -> DataFrame:
         ((F.col("b.block_index") == 0) & (F.col("b.type") == "paragraph") & (F.col("page_continues_previous") | F.col("b.continued"))).alias("wants"),
     )
     rest = lambda df, i, slot, kind: df.select("book_id", "page", "result_id", F.coalesce("block_index", end).alias("block_index"), F.lit(slot).alias("slot"), F.col(i).alias("sub"), F.lit(kind).alias("kind"), F.lit("").alias("text"), F.lit(False).alias("wants"))
-    return blocks.unionByName(rest(matched_notes(kept), "note_index", 1, "note")).unionByName(rest(placed_figures(kept), "figure_index", 2, "figure"))
+    every = blocks.unionByName(rest(matched_notes(kept), "note_index", 1, "note")).unionByName(rest(placed_figures(kept), "figure_index", 2, "figure"))
+    return written(every, "elements")  # read by several ordered passes
 
 
 def ordered_end() -> int:

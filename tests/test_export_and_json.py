@@ -85,3 +85,22 @@ def test_flat_tables(spark):
     assert jt.flat_table(parsed, "illustrations").collect()[0].bbox == [0.1, 0.2, 0.3, 1.0]
     assert jt.flat_table(parsed, "block_markers").collect()[0].value == "1"
     assert jt.children(jt.to_triples(df.where("cache_id > 5"))).count() == 0
+
+
+def test_empty_and_odd_tables(spark, small, tmp_path):
+    """All queries of problems 1 and 2 on tables without rows, with nulls, repeats and clashing columns."""
+    from pyspark.sql import functions as F
+
+    from pagemill.plans.data_queries import QUERIES
+    from pagemill.runtime import table
+
+    for where, rows in (("empty", 0), ("odd", 60)):
+        for name, key in (("page_export", "line_id"), ("recovery_caches", "cache_id")):
+            df = table(spark, small, name).limit(rows)
+            holes = df.limit(5).select(*((F.col(c) + 10_000_000 if c == key else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes))
+            out = df.unionByName(df.limit(9)).unionByName(holes).withColumns({c: F.lit("clash") for c in ("reason", "rec", "raw", "path", "kind", "value", "ordinals", "page")})
+            out.write.parquet(str(tmp_path / where / f"{name}.parquet"))
+        for name, query in QUERIES.items():
+            got = query(spark, str(tmp_path / where)).collect()
+            assert len(got) == len(set(map(str, got))), name
+            assert rows or not got, name

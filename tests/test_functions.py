@@ -240,3 +240,21 @@ def test_navigation_markup(spark):
         import xml.dom.minidom
 
         xml.dom.minidom.parseString(text)
+
+
+def test_package_is_well_formed(spark, small, tmp_path):
+    import xml.dom.minidom
+
+    from pagemill.operators.pages import unique_pages
+    from pagemill.runtime import table
+    from pagemill.sinks import epub
+
+    pack = epub.package(table(spark, small, "books"), unique_pages(table(spark, small, "page_results")))
+    rows = pack.collect()
+    assert len({(r.book_id, r.path) for r in rows}) == len(rows)
+    for r in rows:
+        if r.path.endswith((".xhtml", ".opf", ".xml")):
+            xml.dom.minidom.parseString(r.content)
+    written = epub.write(spark.createDataFrame(rows), str(tmp_path)).collect()
+    assert sum(w.files for w in written) == len(rows)
+    assert epub.package(table(spark, small, "books").limit(0), unique_pages(table(spark, small, "page_results").limit(0))).count() == 0
