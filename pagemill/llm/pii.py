@@ -4,7 +4,7 @@ Tokens of a message form a chain; equal tokens anywhere in the message are joine
 from a signature settles the same name in a greeting or a quoted reply. Weights are fitted on the driver by gradient
 ascent on the chain likelihood over a bounded sample of messages, labelled by their own headers (display names), and by
 the shapes of values after their cue words. Inference is loopy message passing, vectorised over all messages of an
-Arrow batch; lines whose tokens the fitted weights hold for certain to be no value are left out of it.
+Arrow batch, and runs over every line.
 """
 
 from __future__ import annotations
@@ -39,10 +39,9 @@ BUCKETS = 1 << 17
 BATCH_DOCS, ROUNDS, SKIP_WEIGHT = 768, 2, 1.2
 #: Log score of what a token's form alone settles.
 SURE = 30.0
-#: How far, in log score, a capitalised word's own weights must speak more against a name than those of any word that
-#: the sample knows as a name, for its line to need no inference.
-CERTAIN = 1.0
-#: Characters of the lines before and after that a stretch takes along as context.
+#: Padded positions that are passed over at a time; saves memory where messages differ in length.
+CELLS = 1 << 16
+#: Characters of the lines before and after that a stretch of the sample takes along as context.
 CONTEXT = 30
 
 MAIL_NAME = r"[\w.+%-]*\w"
@@ -208,26 +207,18 @@ class Chain(NamedTuple):
 
 
 def chain(clean: str, lo: int, hi: int) -> Chain:
-    tokens, kinds, starts, ends, spots = [], [], [], [], []
-    prev_end = lo
-    for m in TOKENS.finditer(clean, lo, hi):
-        a, b = m.span()
-        if a > prev_end and "\n" in clean[prev_end:a]:
-            spots[-1:] = [spots[-1] | 2] if spots else []
-            spots.append(1)
-        else:
-            spots.append(0 if a > prev_end else 4)
-        tokens.append(m[0])
-        kinds.append(m.lastindex)
-        starts.append(a)
-        ends.append(b)
-        prev_end = b
-    if spots:
-        if lo == 0 or clean[lo - 1] == "\n":
-            spots[0] = 1
-        if hi >= len(clean) or clean[hi] == "\n":
-            spots[-1] |= 2
-    return Chain(tokens, kinds, starts, ends, spots)
+    found = list(TOKENS.finditer(clean, lo, hi))
+    if not found:
+        return Chain([], [], [], [], [])
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
+    gaps = [clean[a:b] for a, b in zip([lo, *ends], starts)]
+    first = [1 if "\n" in g else 0 for g in gaps]
+    spots = [(f if g else 4) | 2 * last for g, f, last in zip(gaps, first, [*first[1:], 0])]
+    if lo == 0 or clean[lo - 1] == "\n":
+        spots[0] = 1
+    if hi >= len(clean) or clean[hi] == "\n":
+        spots[-1] |= 2
+    return Chain([m[0] for m in found], [m.lastindex for m in found], starts, ends, spots)
 
 
 def stretches(clean: str, cold: set[str]) -> list[tuple[int, int]]:
@@ -384,33 +375,39 @@ def marginals(e: np.ndarray, trans: np.ndarray, bounds: list[tuple[int, int]], p
     out = np.empty_like(e)
     expected = np.zeros_like(trans)
     step = np.exp(trans)
+    back_step, ones = np.ascontiguousarray(step.T), np.ones((e.shape[1], 1), e.dtype)
     p = np.exp(e - e.max(1, keepdims=True))
-    order = sorted(range(len(bounds)), key=lambda k: bounds[k][1] - bounds[k][0])
-    for lo in range(0, len(order), 1024):  # chains of like length together
-        some = np.array([bounds[k] for k in order[lo : lo + 1024]])
-        starts, sizes = some[:, 0], some[:, 1] - some[:, 0]
-        steps = int(sizes[-1])
-        index = starts[:, None] + np.minimum(np.arange(steps)[None], sizes[:, None] - 1)
-        mask = np.arange(steps)[None] < sizes[:, None]
+    sizes_all = np.array([hi - lo for lo, hi in bounds])
+    order = np.argsort(sizes_all, kind="stable")
+    lo = 0
+    while lo < len(order):  # chains of like length together
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * sizes_all[order[hi]] <= CELLS:
+            hi += 1
+        some, sizes = order[lo:hi], sizes_all[order[lo:hi]]
+        lo = hi
+        starts, steps = np.array([bounds[k][0] for k in some]), int(sizes[-1])
+        index = starts[None] + np.minimum(np.arange(steps)[:, None], sizes[None] - 1)
+        mask = np.arange(steps)[:, None] < sizes[None]
         x = p[index]
         fwd = np.empty_like(x)
-        fwd[:, 0] = x[:, 0] / x[:, 0].sum(1, keepdims=True)
-        first = np.searchsorted(sizes, np.arange(steps), side="right")  # chains from here on are longer than t
+        fwd[0] = x[0] / x[0].sum(1, keepdims=True)
+        first = np.searchsorted(sizes, np.arange(steps), side="right").tolist()  # chains from here on are longer than t
         for t in range(1, steps):
             k = first[t]
-            nxt = (fwd[k:, t - 1] @ step) * x[k:, t]
-            fwd[k:, t] = nxt / nxt.sum(1, keepdims=True)
+            nxt = (fwd[t - 1, k:] @ step) * x[t, k:]
+            fwd[t, k:] = nxt / (nxt @ ones)
         bwd = np.ones_like(x)
         for t in range(steps - 2, -1, -1):
             k = first[t + 1]
-            nxt = (x[k:, t + 1] * bwd[k:, t + 1]) @ step.T
-            bwd[k:, t] = nxt / nxt.sum(1, keepdims=True)
+            nxt = (x[t + 1, k:] * bwd[t + 1, k:]) @ back_step
+            bwd[t, k:] = nxt / (nxt @ ones)
         both = (fwd * bwd)[mask]
-        out[index[mask]] = np.log(both / both.sum(1, keepdims=True) + 1e-30)
+        out[index[mask]] = np.log(both / (both @ ones) + 1e-30)
         if pairs:
             for t in range(1, steps):
                 k = first[t]
-                joint = fwd[k:, t - 1, :, None] * step[None] * (x[k:, t] * bwd[k:, t])[:, None, :]
+                joint = fwd[t - 1, k:, :, None] * step[None] * (x[t, k:] * bwd[t, k:])[:, None, :]
                 expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
     return (out, expected) if pairs else out
 
@@ -423,7 +420,6 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 class Model(NamedTuple):
     weights: np.ndarray
     trans: np.ndarray
-    certain: float  # margin against a name beyond which a word's own weights settle it
 
 
 def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.25, decay: float = 1e-6) -> Model:
@@ -480,11 +476,7 @@ def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed
             gt += d * d
             trans += rate * d / np.sqrt(gt)
     w[0] = 0
-    # The least certain of the words that the sample knows as names sets the bound for leaving words out of inference.
-    known = {int(t) for ids, y in zip(encoded, labels) for t, l in zip(ids, y) if l in (B_NAME, I_NAME)}
-    known = np.array(sorted(t for t in known if cur[t][1]), np.int64)
-    margin = name_margin(w[cur[known]].sum(1)) if len(known) else np.zeros(1)
-    return Model(w, trans, float(np.quantile(margin, 0.99)) + CERTAIN)
+    return Model(w, trans)
 
 
 def skip_edges(keys: list[int], docs: list[int]) -> np.ndarray:
@@ -522,17 +514,6 @@ def decode(model: Model, types: Types, ids: np.ndarray, spots: np.ndarray, bound
     return belief.argmax(1)
 
 
-def name_margin(s: np.ndarray) -> np.ndarray:
-    return s[:, [O, B_ADDR, I_ADDR]].max(1) - s[:, [B_NAME, I_NAME]].max(1)
-
-
-def cold_words(types: Types, words: list[str], certain: float) -> set[str]:
-    """Capitalised words whose own weights settle that they are no name. Addresses are found by their numbers."""
-    ids = np.array([types.id(t) for t in words], np.int64)
-    margin = name_margin(types.scores()[0][ids])
-    return {t for t, m in zip(words, margin) if m > certain}
-
-
 class Entity(NamedTuple):
     body: int
     start: int
@@ -572,12 +553,7 @@ class Finder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.types = Types(self.model.weights)
-        self.cold: set[str] = set()
-        self.judged: set[str] = set()
+        self.types = Types(model.weights)
 
     def find(self, raws: list[str | None], encoded: bool = True) -> list[tuple[list[Body], list[Entity]]]:
         found: list[tuple[list[Body], list[Entity]]] = []
@@ -588,26 +564,21 @@ class Finder:
         bounds: list[tuple[int, int]] = []
         where: list[tuple[int, int, Chain]] = []
         if len(self.types.cur) > 200_000:  # bounded memory
-            self.reset()
+            self.types = Types(self.model.weights)
         type_id = self.types.id
-        all_bodies = [bodies(x, encoded) for x in raws]
-        new = {t for bs in all_bodies for b in bs for t in CAPITAL.findall(b.clean)} - self.judged
-        if new:
-            self.cold |= cold_words(self.types, sorted(new), self.model.certain)
-            self.judged |= new
-        for d, own in enumerate(all_bodies):
+        for d, raw in enumerate(raws):
+            own = bodies(raw, encoded)
             found.append((own, []))
             for k, body in enumerate(own):
-                for lo, hi in stretches(body.clean, self.cold):
-                    part = chain(body.clean, lo, hi)
-                    if not part.tokens:
-                        continue
-                    bounds.append((len(ids), len(ids) + len(part.tokens)))
-                    ids += [type_id(t if g == WORD else type_key(t, g)) for t, g in zip(part.tokens, part.kinds)]
-                    keys += [type_id(t.lower()) if g == WORD and len(t) > 2 and t[:1].isupper() else 0 for t, g in zip(part.tokens, part.kinds)]
-                    spots += part.spots
-                    docs += [d] * len(part.tokens)
-                    where.append((d, k, part))
+                part = chain(body.clean, 0, len(body.clean))
+                if not part.tokens:
+                    continue
+                bounds.append((len(ids), len(ids) + len(part.tokens)))
+                ids += [type_id(t if g == WORD else type_key(t, g)) for t, g in zip(part.tokens, part.kinds)]
+                keys += [type_id(t.lower()) if g == WORD and len(t) > 2 and t[:1].isupper() else 0 for t, g in zip(part.tokens, part.kinds)]
+                spots += part.spots
+                docs += [d] * len(part.tokens)
+                where.append((d, k, part))
         if bounds:
             y = decode(self.model, self.types, np.array(ids), np.array(spots), bounds, skip_edges(keys, docs)).tolist()
             for (lo, hi), (d, k, part) in zip(bounds, where):

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,18 @@ def test_redaction(finder):
     assert model.find([None, "", "no body", "A: b\n\n" + "Call Greta. " * 20_000])[0] == ([], [])
 
 
+def test_neighbours_make_names(finder):
+    """A word whose own weights speak against a name is one where its neighbours say so; no line goes unasked."""
+    model, _ = finder
+    w = np.zeros((pii.BUCKETS, len(pii.LABELS)), np.float32)
+    w[list(pii.SPOTS.values()), pii.O] = 1
+    w[pii.bucket("cw=hollow"), pii.O] = 6
+    w[pii.relation(np.array(pii.type_features("dear")[1]), -1)[0], pii.B_NAME] = 20
+    fixed = model.model._replace(weights=w, trans=np.zeros_like(model.model.trans))
+    ((own, values),) = pii.Finder(fixed).find(["From: a <a@x.example>\n\nsome words\n\ndear Hollow of the words\n\nmore words\n"])
+    assert [(v.kind, own[v.body].clean[v.start : v.end]) for v in values] == [("name", "Hollow")]
+
+
 # ---- all queries --------------------------------------------------------------------------------------------------------
 
 
