@@ -14,6 +14,10 @@ def p3_paragraphs(spark, root):
     return pagetext.paragraphs(table(spark, root, "page_results"), table(spark, root, "books"))
 
 
+def p3_blocks(spark, root):
+    return pagetext.repaired_blocks(table(spark, root, "page_results"), table(spark, root, "books"))
+
+
 def p4_found(spark, root):
     return canonical.look_alike_pairs(table(spark, root, "page_notes"))
 
@@ -84,6 +88,7 @@ def p9_redacted(spark, root):
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_paragraphs": p3_paragraphs,
+    "p3_blocks": p3_blocks,
     "p4_found": p4_found,
     "p4_notes": p4_notes,
     "p5_found": p5_found,

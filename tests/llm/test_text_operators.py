@@ -136,6 +136,20 @@ def test_page_text(spark):
     assert {(r.field, r.row_id) for r in ends.collect()} == {("page_text", 3)}
 
 
+def test_every_page_and_block(spark):
+    """Front matter and lists give paragraphs, and blocks come out repaired, those without text too."""
+    block = "array<struct<type string, level int, text string>>"
+    pages = spark.createDataFrame([(*r, None) for r in small_book()] + [
+        (50, "b", "s", 9, "front_matter", None, None, "THE OLD GARDEN\n\nThe evcning kept the gar-\nden.\n9", [("heading", 1, "THE OLD GARDEN"), ("paragraph", 0, "The evcning kept the gar-\nden and the gar- den, the can-"), ("quote", 0, None)]),
+    ] * 2, RESULTS + f", blocks {block}")
+    books = spark.createDataFrame([("b", "A Book")], "book_id string, title string")
+    paras = {(r.page, r.para_no): r.text for r in pagetext.paragraphs(pages, books).where("book_id = 'b'").collect()}
+    assert paras[9, 0] == "THE OLD GARDEN" and paras[9, 1] == "The evening kept the garden." and paras[5, 0] == "Contents 9"
+    rows = sorted(tuple(r) for r in pagetext.repaired_blocks(pages, books).collect())
+    assert [r[:6] for r in rows] == [(50, "b", 9, 0, "heading", 1), (50, "b", 9, 1, "paragraph", 0), (50, "b", 9, 2, "quote", 0)]
+    assert [r[6] for r in rows] == ["THE OLD GARDEN", "The evening kept the garden and the garden, the can-", None]
+
+
 # ---- truncation -------------------------------------------------------------------------------------------------------
 
 
