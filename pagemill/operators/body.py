@@ -43,7 +43,8 @@ def kept_blocks(pages: DataFrame, headings: tuple[str, ...] = ()) -> DataFrame:
 
 
 def matched_notes(kept: DataFrame) -> DataFrame:
-    """(result_id, book_id, page, note_index, marker, block_index): the block each note belongs to, null for none.
+    """(result_id, book_id, page, note_index, marker, block_index, type, text, anchor): the block each note belongs to,
+    null for none.
 
     A marker that any block of the page names decides alone; otherwise the note's anchor may stand in the block's text.
     The first kept block that matches takes the note.
@@ -54,22 +55,22 @@ def matched_notes(kept: DataFrame) -> DataFrame:
         fits = F.filter("kept", lambda b: (named & F.array_contains(b["markers"], marker)) | (~named & (anchor != "") & b["text"].contains(anchor)))
         return F.try_element_at(F.transform(fits, lambda b: b["block_index"]), F.lit(1))
 
-    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("notes", lambda n: F.struct(tx.strip(tx.text_or_empty(n["marker"])).alias("marker"), place(n).alias("block_index")))).alias("note_index", "m"))
-    return rows.select("result_id", "book_id", "page", "note_index", "m.marker", "m.block_index")
+    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("notes", lambda n: F.struct(tx.strip(tx.text_or_empty(n["marker"])).alias("marker"), place(n).alias("block_index"), tx.strip(tx.text_or_empty(n["type"])).alias("type"), tx.strip(tx.text_or_empty(n["text"])).alias("text"), tx.strip(tx.text_or_empty(n["anchor"])).alias("anchor")))).alias("note_index", "m"))
+    return rows.select("result_id", "book_id", "page", "note_index", "m.marker", "m.block_index", "m.type", "m.text", "m.anchor")
 
 
 def placed_figures(kept: DataFrame) -> DataFrame:
-    """(result_id, book_id, page, figure_index, block_index): the kept block each figure follows; null: the page's end.
+    """(result_id, book_id, page, figure_index, block_index, text): the kept block each figure follows; null: the page's end.
 
-    A figure without anchor follows the first kept block, any other the first whose text holds its anchor.
+    ``text`` is the caption. A figure without anchor follows the first kept block, any other the first whose text holds its anchor.
     """
     def place(i: Column) -> Column:
         anchor = tx.text_or_empty(i["insert_after"])
         fits = F.filter("kept", lambda b: (anchor == "") | b["text"].contains(anchor))
         return F.try_element_at(F.transform(fits, lambda b: b["block_index"]), F.lit(1))
 
-    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("illustrations", lambda i: F.struct(place(i).alias("block_index")))).alias("figure_index", "f"))
-    return rows.select("result_id", "book_id", "page", "figure_index", "f.block_index")
+    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("illustrations", lambda i: F.struct(place(i).alias("block_index"), tx.text_or_empty(i["caption"]).alias("text")))).alias("figure_index", "f"))
+    return rows.select("result_id", "book_id", "page", "figure_index", "f.block_index", "f.text")
 
 
 def crop(bbox: Column, width: int, height: int) -> Column:
@@ -83,18 +84,22 @@ def crop(bbox: Column, width: int, height: int) -> Column:
 
 
 def elements(kept: DataFrame) -> DataFrame:
-    """(book_id, page, result_id, block_index, slot, sub, kind, text, wants): everything the body shows, in its order.
+    """(book_id, page, result_id, block_index, slot, sub, kind, text, wants, type, level, marker, anchor): everything the body shows, in its order.
 
     ``kind`` p, h, note or figure. A page's block comes first, then the notes and figures it takes; figures and notes
     that found no block stand at the page's end. Written once to the shared folder. ``wants``: a first paragraph that continues the page before.
+    ``text`` of a figure is its caption; ``level`` is that of a block, ``marker`` and ``anchor`` are those of a note.
     """
+    none = lambda name, t: F.lit(None).cast(t).alias(name)
     end = F.lit(ordered_end())
     blocks = kept.select("book_id", "page", "result_id", "page_continues_previous", F.explode("kept").alias("b")).select(
         "book_id", "page", "result_id", F.col("b.block_index").alias("block_index"), F.lit(0).alias("slot"), F.lit(0).alias("sub"),
         F.when(F.col("b.type") == "heading", "h").otherwise("p").alias("kind"), F.col("b.text").alias("text"),
         ((F.col("b.block_index") == 0) & (F.col("b.type") == "paragraph") & (F.col("page_continues_previous") | F.col("b.continued"))).alias("wants"),
+        F.col("b.type").alias("type"), F.col("b.level").cast("int").alias("level"), none("marker", "string"), none("anchor", "string"),
     )
-    rest = lambda df, i, slot, kind: df.select("book_id", "page", "result_id", F.coalesce("block_index", end).alias("block_index"), F.lit(slot).alias("slot"), F.col(i).alias("sub"), F.lit(kind).alias("kind"), F.lit("").alias("text"), F.lit(False).alias("wants"))
+    own = lambda df, name: F.col(name) if name in df.columns else none(name, "string")
+    rest = lambda df, i, slot, kind: df.select("book_id", "page", "result_id", F.coalesce("block_index", end).alias("block_index"), F.lit(slot).alias("slot"), F.col(i).alias("sub"), F.lit(kind).alias("kind"), F.col("text"), F.lit(False).alias("wants"), own(df, "type"), none("level", "int"), own(df, "marker"), own(df, "anchor"))
     every = blocks.unionByName(rest(matched_notes(kept), "note_index", 1, "note")).unionByName(rest(placed_figures(kept), "figure_index", 2, "figure"))
     return written(every, "elements")  # read by several ordered passes
 

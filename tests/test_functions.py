@@ -258,3 +258,29 @@ def test_package_is_well_formed(spark, small, tmp_path):
     written = epub.write(spark.createDataFrame(rows), str(tmp_path)).collect()
     assert sum(w.files for w in written) == len(rows)
     assert epub.package(table(spark, small, "books").limit(0), unique_pages(table(spark, small, "page_results").limit(0))).count() == 0
+
+
+def test_package_keeps_content(spark, small):
+    """Note texts, references, captions, heading levels and quotes stand in the body of a package."""
+    import xml.dom.minidom
+
+    from pagemill.operators.pages import unique_pages
+    from pagemill.runtime import table
+    from pagemill.sinks import epub
+
+    schema = unique_pages(table(spark, small, "page_results")).schema
+    block = lambda kind, level, text, *marks: {"type": kind, "level": level, "text": text, "continued_from_previous": False, "note_markers": list(marks)}
+    page = {f.name: None if f.nullable else False for f in schema} | {
+        "result_id": 1, "book_id": "b", "page": 1, "text": "x", "page_role": "body", "page_continues_previous": False, "illustrations": [{"bbox": None, "caption": "A <map>", "insert_after": "Said"}],
+        "blocks": [block("heading", 2, "Part"), block("paragraph", 0, "Said a [a] man 1 & [1] more.", "a", "1"), block("quote", 0, "Verse"), block("paragraph", 0, "End")],
+        "notes": [{"marker": "a", "type": "footnote", "text": "First & note", "anchor": ""}, {"marker": "1", "type": "endnote", "text": "Second", "anchor": ""}, {"marker": "z", "type": None, "text": "Third", "anchor": "nowhere"}],
+    }
+    (row,) = epub.body_files(spark.createDataFrame([tuple(page[f.name] for f in schema)], schema)).collect()
+    xml.dom.minidom.parseString(row.content)
+    for want in (
+        '<h3 id="heading-0001" class="section-heading">Part</h3>', '<p id="block-0003" class="quote">Verse</p>', 'alt="A &lt;map&gt;"/><figcaption>A &lt;map&gt;</figcaption></figure>',
+        '<aside epub:type="footnote" class="note footnote" id="fn-0001"><p>First &amp; note</p></aside>', '<aside epub:type="footnote" class="note endnote" id="fn-0002"><p>Second</p></aside>',
+        '<p id="block-0002">Said a <a epub:type="noteref" class="noteref" id="fnref-0001" href="#fn-0001" data-label="a"', 'man 1 &amp; <a epub:type="noteref" class="noteref" id="fnref-0002"',
+        '<p id="block-0004">End<a epub:type="noteref" class="noteref" id="fnref-0003"', 'class="note unknown" id="fn-0003"><p>Third</p></aside>',
+    ):
+        assert want in row.content, (want, row.content)
