@@ -1,10 +1,12 @@
 """Personal values in message bodies: found by a skip-chain conditional random field, replaced by typed placeholders.
 
-Tokens of a message form a chain; equal tokens anywhere in the message are joined by skip edges, so that a name known
-from a signature settles the same name in a greeting or a quoted reply. Weights are fitted on the driver by gradient
-ascent on the chain likelihood over a bounded sample of messages, labelled by their own headers (display names), and by
-the shapes of values after their cue words. Inference is loopy message passing, vectorised over all messages of an
-Arrow batch, and runs over every line.
+Tokens of a message form a chain; all occurrences of equal or similar capitalised words of a message are joined through one
+node a word, so that a name known from a signature settles the same name, or a misspelt or inflected form of it, anywhere
+in the message. Chain weights are fitted on the driver by gradient ascent on the chain likelihood over a bounded sample of
+messages, labelled by their own headers (display names), and by the shapes of values after their cue words; the weight of
+agreement by the likelihood of a part of the sample that the weights have not seen. Inference is message passing along
+chains and over the word nodes until no belief changes, vectorised over all messages of an Arrow batch; it runs over every
+line.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,10 +38,18 @@ SAMPLE_DOCS, EPOCHS, SEED = 600, 8, 7
 PLAIN_LINES = 2
 #: Hashed features (the model is this times the number of labels, whatever the corpus).
 BUCKETS = 1 << 17
-#: Messages inferred at a time, rounds of message passing, and the log potential of agreement over a skip edge.
-BATCH_DOCS, ROUNDS, SKIP_WEIGHT = 768, 2, 1.2
-#: Log score of what a token's form alone settles.
-SURE = 30.0
+#: Messages inferred at a time; tokens of a block that is passed over beside all others.
+BATCH_DOCS, BLOCK = 768, 128
+#: Messages along a chain are settled within SETTLED, beliefs within MOVED; most rounds over the word nodes.
+SETTLED, MOVED, MOST_ROUNDS = 1e-5, 1e-3, 50
+#: Share of the sample that the weight of agreement is fitted on, and passes over the rest for it.
+HELD, HELD_EPOCHS = 1 / 3, 3
+#: Weights of agreement that are tried.
+SKIP_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
+#: Least letters of words that are similar by one edit.
+SIMILAR_LETTERS = 5
+#: Token types and stretches of lines a task remembers.
+TYPES, REMEMBERED = 200_000, 150_000
 #: Padded positions that are passed over at a time; saves memory where messages differ in length.
 CELLS = 1 << 16
 #: Characters of the lines before and after that a stretch of the sample takes along as context.
@@ -47,7 +58,7 @@ CONTEXT = 30
 MAIL_NAME = r"[\w.+%-]*\w"
 MAIL_AT = r"(?:@|[ \n]?[\[({<][ ]?(?:at|AT|@)[ ]?[\])}>][ \n]?|[ \n](?:at|AT)[ \n])"
 MAIL_DOT = r"(?:\.|[ \n]?[\[({<][ ]?(?:dot|DOT)[ ]?[\])}>][ \n]?|[ \n](?:dot|DOT)[ \n])"
-ADDRESS = rf"{MAIL_NAME}{MAIL_AT}[A-Za-z0-9-]+(?:{MAIL_DOT}[A-Za-z0-9-]+)+"
+ADDRESS = rf"{MAIL_NAME}{MAIL_AT}[A-Za-z0-9-]+(?:{MAIL_DOT}[A-Za-z0-9-]+)*{MAIL_DOT}[A-Za-z][A-Za-z0-9-]*"
 # Shapes of numbers that may be wrapped over lines, then any other number.
 NUMBER = (
     r"(?<!\w)[A-Z]{2}(?:\s*\d\d){3}\s*[A-Z]\b|(?<!\w)[A-Z]\d{6,9}\b"
@@ -55,7 +66,7 @@ NUMBER = (
     r"|\b0\d{4}\s+\d{3}\s+\d{3}\b|\(\d{3}\)\s+\d{3}-\d{4}|\b0\d{2,4}\s+\d{4,6}-\d{2,4}|\b\d\d(?:\s+\d{3}){3}\b"
     r"|\+?\(?\d[\d ().\-/:]*\d(?:[A-Z]\b)?|\+?\d+[A-Z]?"
 )
-TOKENS = re.compile(rf"({ADDRESS})|({NUMBER})|([^\W\d_]+(?:['’-][^\W\d_]+)*|\w+)|([^\w\s]+|\n(?=[ \t]*\n))")
+TOKENS = re.compile(rf"({ADDRESS})|({NUMBER})|([^\W\d_]+(?:['’-][^\W\d_]+)*|\w+)|([^\w\s]+)")
 MAIL, NUMERIC, WORD, SIGN = 1, 2, 3, 4
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*")
 HOT = re.compile(r"[\d@]|[\[({<]\s?(?:at|AT)\b|[ \n](?:at|AT)[ \n][\w-]+(?:\.[a-z]|[ \n]?[\[({]?(?:dot|DOT)\b)")
@@ -157,6 +168,14 @@ def relation(ctx: np.ndarray, where: int) -> np.ndarray:
     return np.where(ctx == 0, 0, (ctx * 2654435761 + where * 40503) % (BUCKETS - 1) + 1)
 
 
+def stem(word: str) -> str:
+    form = word.casefold()
+    if not form.isascii():
+        form = "".join(c for c in unicodedata.normalize("NFD", form) if not unicodedata.combining(c)).replace("’", "'")
+    form = form.removesuffix("'s").removesuffix("'")
+    return form[:-1] if len(form) > 4 and form.endswith("s") and not form.endswith("ss") else form
+
+
 WHERE = (-1, 1, -2, 2)
 SPOTS = {s: bucket(f"spot{s}") for s in range(8)}
 
@@ -167,6 +186,9 @@ class Types:
     def __init__(self, weights: np.ndarray):
         self.w = weights
         self.ids: dict[str, int] = {"": 0}
+        self.stems: dict[str, int] = {"": 0}
+        self.stem_of: list[int] = [0]
+        self.variants: list[tuple[int, ...]] = [()]
         self.cur: list[list[int]] = [[]]
         self.ctx: list[list[int]] = [[]]
         self.caches: list[np.ndarray] = [np.zeros((1, len(LABELS)), np.float32) for _ in range(1 + len(WHERE))]
@@ -179,6 +201,17 @@ class Types:
             cur, ctx = type_features(key)
             self.cur.append(cur)
             self.ctx.append(ctx)
+            self.stem_of.append(self.stem(key) if len(key) > 2 and key[0].isupper() else 0)
+        return got
+
+    def stem(self, word: str) -> int:
+        """The id of a capitalised word's form without accents, case and genitive ending; similar words share forms that
+        lack one letter."""
+        form = stem(word)
+        got = self.stems.get(form)
+        if got is None:
+            got = self.stems[form] = len(self.variants)
+            self.variants.append(tuple({hash(form), *(hash(form[:i] + form[i + 1 :]) for i in range(len(form)))}) if len(form) >= SIMILAR_LETTERS else ())
         return got
 
     def features(self, since: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,19 +239,68 @@ class Chain(NamedTuple):
     spots: list[int]
 
 
-def chain(clean: str, lo: int, hi: int) -> Chain:
-    found = list(TOKENS.finditer(clean, lo, hi))
-    if not found:
-        return Chain([], [], [], [], [])
+#: The spot of the token that stands for empty lines.
+EMPTY_LINE = 7
+AT_WORDS = ("at", "AT", "dot", "DOT")
+AT_START, AT_END = tuple(w + " " for w in AT_WORDS), tuple(" " + w for w in AT_WORDS)
+
+
+def joined(above: str, below: str) -> bool:
+    """Whether a number or an address may reach from the end of one line (not blank, stripped) into the next."""
+    end, start = above[-1], below[0]
+    if start in "[({<" or end in "])}>":
+        return True
+    if start.isdigit():
+        if end.isdigit() or "A" <= end <= "Z":
+            return True
+    elif end.isdigit() and "A" <= start <= "Z":
+        return True
+    return below.startswith(AT_START) or above.endswith(AT_END) or below in AT_WORDS or above in AT_WORDS
+
+
+def segments(clean: str, lo: int, hi: int) -> list[tuple[int, str, bool]]:
+    """(offset, text, whether an empty line comes before) of the stretches of lines that no token leaves: single lines,
+    but for lines over whose end a number or an address may reach."""
+    out: list[tuple[int, str, bool]] = []
+    at, gap, last = lo, False, ""
+    for line in clean[lo:hi].split("\n"):
+        bare = line.strip()
+        if bare:
+            start = at + line.index(bare)
+            if last and joined(last, bare):
+                begin, _, before = out[-1]
+                out[-1] = (begin, clean[begin : start + len(bare)], before)
+            else:
+                out.append((start, bare, gap))
+            last, gap = bare, False
+        else:
+            gap = True
+        at += len(line) + 1
+    return out
+
+
+def scanned(text: str) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
+    """Tokens of a segment with their kinds, starts, ends and spots."""
+    found = list(TOKENS.finditer(text))
     starts, ends = [m.start() for m in found], [m.end() for m in found]
-    gaps = [clean[a:b] for a, b in zip([lo, *ends], starts)]
-    first = [1 if "\n" in g else 0 for g in gaps]
-    spots = [(f if g else 4) | 2 * last for g, f, last in zip(gaps, first, [*first[1:], 0])]
-    if lo == 0 or clean[lo - 1] == "\n":
-        spots[0] = 1
-    if hi >= len(clean) or clean[hi] == "\n":
-        spots[-1] |= 2
-    return Chain([m[0] for m in found], [m.lastindex for m in found], starts, ends, spots)
+    first = [1, *(1 if "\n" in text[a:b] else 0 for a, b in zip(ends, starts[1:]))]
+    spots = [f | 2 * last | (4 if not f and a == b else 0) for f, last, a, b in zip(first, [*first[1:], 1], [0, *ends], starts)]
+    return [m[0] for m in found], [m.lastindex for m in found], starts, ends, spots
+
+
+def chain(clean: str, lo: int, hi: int) -> Chain:
+    out = Chain([], [], [], [], [])
+    for begin, text, gap in segments(clean, lo, hi):
+        if gap and out.tokens:
+            for field, value in zip(out, ("\n", SIGN, begin, begin, EMPTY_LINE)):
+                field.append(value)
+        tokens, kinds, starts, ends, spots = scanned(text)
+        out.tokens.extend(tokens)
+        out.kinds.extend(kinds)
+        out.starts.extend(begin + x for x in starts)
+        out.ends.extend(begin + x for x in ends)
+        out.spots.extend(spots)
+    return out
 
 
 def stretches(clean: str, cold: set[str]) -> list[tuple[int, int]]:
@@ -334,15 +416,15 @@ def gold(clean: str, part: Chain, names: frozenset[str], common: frozenset[str]
         if part.tokens[i] == "," and y[i - 1] == I_NAME and y[i + 1] == I_NAME and not part.spots[i + 1] & 1:
             y[i] = I_NAME
     for i in range(n):
-        if y[i] == I_NAME and (i == 0 or y[i - 1] not in (B_NAME, I_NAME) or (part.spots[i] & 1 and part.spots[i - 1] & 2 and lone(part, i - 1))):
+        if y[i] == I_NAME and (i == 0 or y[i - 1] not in (B_NAME, I_NAME) or (part.spots[i] & 1 and part.spots[i - 1] & 2 and lone(part.spots, i - 1))):
             y[i] = B_NAME
     return y
 
 
-def lone(part: Chain, i: int) -> bool:
+def lone(spots, i: int) -> bool:
     """Whether the line that token i ends holds at most three tokens: a signature line, not running text."""
     j = i
-    while j > 0 and not part.spots[j] & 1:
+    while j > 0 and not spots[j] & 1:
         j -= 1
     return i - j < 3
 
@@ -365,7 +447,6 @@ def emissions(types: Types, ids: np.ndarray, spots: np.ndarray, bounds: list[tup
     for k, where in enumerate(WHERE):
         at, other = neighbours(len(ids), bounds, where)
         e[at] += scores[k + 1][ids[other]]
-    e[ids == types.ids.get("@", -1), EMAIL] += SURE  # the token's form alone is a mail address
     return e
 
 
@@ -420,6 +501,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 class Model(NamedTuple):
     weights: np.ndarray
     trans: np.ndarray
+    skip: float = 0.0
 
 
 def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.25, decay: float = 1e-6) -> Model:
@@ -435,7 +517,6 @@ def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed
     cur, ctx = types.features(0)
     moved = [relation(ctx, where) for where in WHERE]
     spot_ids = np.array([SPOTS[x] for x in range(8)])
-    address = bucket("cmail")
     rows = []
     for c, ids in zip(chains, encoded):
         feats = np.zeros((len(ids), CUR + len(WHERE) * CTX + 1), np.int64)
@@ -457,7 +538,6 @@ def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed
             bounds = list(zip(ends[:-1], ends[1:]))
             w[0] = 0
             e = w[feats].sum(1)
-            e[feats[:, 0] == address, EMAIL] += SURE
             node, expected = marginals(e, trans, bounds, pairs=True)
             grad = -np.exp(node)
             grad[np.arange(len(y)), y] += 1
@@ -479,39 +559,204 @@ def fit(chains: list[Chain], labels: list[list[int]], epochs: int = EPOCHS, seed
     return Model(w, trans)
 
 
-def skip_edges(keys: list[int], docs: list[int]) -> np.ndarray:
-    """(k, 2) positions of equal tokens of one message, each joined with its next occurrence."""
-    last: dict[tuple[int, int], int] = {}
-    out = []
-    for i, (d, key) in enumerate(zip(docs, keys)):
-        if key:
-            if (prev := last.get((d, key))) is not None:
-                out.append((prev, i))
-            last[d, key] = i
-    return np.array(out, np.int64).reshape(-1, 2)
+def word_nodes(types: Types, ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, word node) pairs: one node for all tokens of a message with one stem, and one for each form that similar
+    stems of a message share. Nodes with one token are left out; the pairs grow with the tokens, not with their pairs."""
+    stems = np.array(types.stem_of)[ids]
+    nodes = np.flatnonzero(stems)
+    keys = docs[nodes].astype(np.int64) << 32 | stems[nodes]
+    distinct, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+    # Stems of a message that share a form lacking a letter.
+    own = types.variants
+    forms = [own[k] for k in (distinct & 0xFFFFFFFF).tolist()]
+    size = np.array([len(f) for f in forms], np.int64)
+    flat = np.array([x for f in forms for x in f], np.int64)
+    word = np.repeat(np.arange(len(distinct)), size)
+    mixed = flat ^ ((distinct[word] >> 32) * 0x9E3779B97F4A7C1 if len(word) else 0)
+    slot = (mixed & 0x3FFFFF).astype(np.int64)
+    maybe = np.bincount(slot, minlength=1)[slot] > 1 if len(slot) else np.zeros(0, bool)
+    shared, which, often = np.unique(mixed[maybe], return_inverse=True, return_counts=True)
+    some = often[which] > 1
+    link_word, link_hub = word[maybe][some], which[some]
+    # Tokens by their word, so that a shared form reaches all of them.
+    order = np.argsort(inverse, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(n)])
+    counts = n[link_word]
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    by_form = order[np.repeat(begin[link_word], counts) + offset]
+    often_word = n[inverse] > 1
+    token = np.concatenate([nodes[often_word], nodes[by_form]])
+    hub = np.concatenate([inverse[often_word], len(distinct) + np.repeat(link_hub, counts)])
+    hub = np.unique(hub, return_inverse=True)[1]
+    return token, hub
+
+
+#: Label classes that agree over a word node: no value, name, the rest by kind.
+CLASS = np.array([0, 1, 1, 2, 3, 4, 5, 5])
+TO_CLASS = (CLASS[:, None] == np.arange(6)[None, :]).astype(np.float32)
 
 
-#: Label classes that agree over a skip edge: no value, name, the rest by kind.
-CLASS = np.array([0, 1, 1, 2, 3, 4, 5, 5])
-AGREE = (CLASS[:, None] == CLASS[None, :]).astype(np.float32)
+class Lattice:
+    """Message passing along all chains of a batch at once.
 
+    The tokens, chain after chain, are cut into blocks of equal length that are passed over side by side. A block first
+    starts from any message; blocks whose incoming message turns out different are passed over again, until none changes
+    by more than SETTLED, which is the exact result whatever the cut.
+    """
 
-def decode(model: Model, types: Types, ids: np.ndarray, spots: np.ndarray, bounds: list[tuple[int, int]], edges: np.ndarray, rounds: int = ROUNDS, weight: float = SKIP_WEIGHT) -> np.ndarray:
-    """Best label of every node after loopy message passing over chains and skip edges."""
+    def __init__(self, e: np.ndarray, trans: np.ndarray, bounds: list[tuple[int, int]]):
+        n, k = e.shape
+        self.n, self.rows = n, max(1, -(-n // BLOCK))
+        x = np.ones((self.rows * BLOCK, k), np.float32)
+        x[:n] = np.exp(e - e.max(1, keepdims=True))
+        self.x = np.ascontiguousarray(x.reshape(self.rows, BLOCK, k).swapaxes(0, 1))
+        step = np.exp(trans).astype(np.float32)
+        self.steps = (step, np.ascontiguousarray(step.T))
+        first = np.array([lo for lo, _ in bounds], np.int64)
+        last = np.array([hi - 1 for _, hi in bounds], np.int64)
+        self.fresh = (self._by_step(first, 0), self._by_step(last, 1))
+        self.messages = [np.full_like(self.x, 1 / k) for _ in range(2)]
+        self.out = [np.full((self.rows, k), 1 / k, np.float32) for _ in range(2)]
+        every = np.arange(self.rows)
+        for way in (0, 1):
+            self._pass(way, every, False)
+            self._settle(way)
+
+    def _by_step(self, positions: np.ndarray, way: int) -> list[np.ndarray]:
+        """Blocks that hold a chain's end at each step."""
+        row, t = np.divmod(positions, BLOCK)
+        t = t if way == 0 else BLOCK - 1 - t
+        order = np.argsort(t, kind="stable")
+        cuts = np.searchsorted(t[order], np.arange(BLOCK + 1))
+        return [row[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _pass(self, way: int, rows: np.ndarray, stop: bool) -> None:
+        """Passes over ``rows`` from their incoming message; with ``stop`` a row is left where nothing changes any more."""
+        step, u, k = self.steps[way], self.messages[way], self.x.shape[2]
+        whole = len(rows) == self.rows
+        at = 0 if way == 0 else BLOCK - 1
+        v = u[at] if whole else u[at, rows]
+        ones = np.ones((k, 1), np.float32)
+        where = np.full(self.rows, -1)
+        for t in range(BLOCK):
+            at = t if way == 0 else BLOCK - 1 - t
+            nxt = (v * (self.x[at] if whole else self.x[at, rows])) @ step
+            nxt /= nxt @ ones
+            if t + 1 == BLOCK:
+                self.out[way][rows] = nxt
+                return
+            fresh = self.fresh[way][t + 1]
+            if len(fresh):
+                if whole:
+                    nxt[fresh] = 1 / k
+                else:
+                    where[rows] = np.arange(len(rows))
+                    hit = where[fresh]
+                    nxt[hit[hit >= 0]] = 1 / k
+                    where[rows] = -1
+            to = at + 1 if way == 0 else at - 1
+            if stop:
+                moved = np.abs(nxt - u[to, rows]).max(1) > SETTLED
+                rows, nxt, whole = rows[moved], nxt[moved], False
+                if not len(rows):
+                    return
+            if whole:
+                u[to] = nxt
+            else:
+                u[to, rows] = nxt
+            v = nxt
+
+    def _settle(self, way: int) -> None:
+        k = self.x.shape[2]
+        while True:
+            new = np.full((self.rows, k), 1 / k, np.float32)
+            if way == 0:
+                new[1:] = self.out[0][:-1]
+            else:
+                new[:-1] = self.out[1][1:]
+            new[self.fresh[way][0]] = 1 / k
+            at = 0 if way == 0 else BLOCK - 1
+            rows = np.flatnonzero(np.abs(new - self.messages[way][at]).max(1) > SETTLED)
+            if not len(rows):
+                return
+            self.messages[way][at, rows] = new[rows]
+            self._pass(way, rows, True)
+
+    def belief(self, nodes: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of the labels of ``nodes``."""
+        if nodes is None:
+            p = (self.messages[0] * self.x * self.messages[1]).swapaxes(0, 1).reshape(-1, self.x.shape[2])[: self.n]
+        else:
+            row, t = np.divmod(nodes, BLOCK)
+            p = self.messages[0][t, row] * self.x[t, row] * self.messages[1][t, row]
+        return p / np.maximum(p.sum(1, keepdims=True), 1e-37)
+
+    def set(self, nodes: np.ndarray, e: np.ndarray) -> None:
+        """New scores of ``nodes``; the messages of their blocks, and of all that this changes, are passed again."""
+        row, t = np.divmod(nodes, BLOCK)
+        self.x[t, row] = np.exp(e - e.max(1, keepdims=True))
+        rows = np.unique(row)
+        for way in (0, 1):
+            self._pass(way, rows, False)
+            self._settle(way)
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+def settled(e: np.ndarray, trans: np.ndarray, bounds: list[tuple[int, int]], token: np.ndarray, hub: np.ndarray, skip: float) -> Lattice:
+    """Message passing along the chains and over the word nodes, until no belief changes by more than MOVED."""
+    lattice = Lattice(e, trans, bounds)
+    if not len(token) or not skip:
+        return lattice
+    nodes, own = np.unique(token, return_inverse=True)
+    bond = np.float32(np.expm1(skip)) * np.eye(6, dtype=np.float32) + 1
+    n_hubs = int(hub.max()) + 1
+    sent = np.zeros((len(token), 6), np.float32)  # from the word node to the token
+    for _ in range(MOST_ROUNDS):
+        p = np.log(lattice.belief(nodes) @ TO_CLASS + 1e-30)
+        up = np.log(np.exp(_log_softmax(p[own] - sent)) @ bond)
+        up -= up.max(1, keepdims=True)
+        total = np.stack([np.bincount(hub, up[:, c], n_hubs) for c in range(6)], 1).astype(np.float32)
+        down = np.log(np.exp(_log_softmax(total[hub] - up)) @ bond)
+        down -= down.max(1, keepdims=True)
+        change = np.zeros_like(p)
+        np.add.at(change, own, down - sent)
+        moved = np.abs(np.exp(_log_softmax(p + change)) - np.exp(p)).max(1) > MOVED
+        if not moved.any():
+            break
+        mine = moved[own]
+        sent[mine] = down[mine]
+        into = np.zeros((len(nodes), 6), np.float32)
+        np.add.at(into, own, sent)
+        some = nodes[moved]
+        lattice.set(some, e[some] + into[moved][:, CLASS])
+    return lattice
+
+
+def decode(model: Model, types: Types, ids: np.ndarray, spots: np.ndarray, bounds: list[tuple[int, int]], token: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """The most likely label of every token."""
+    return settled(emissions(types, ids, spots, bounds), model.trans, bounds, token, hub, model.skip).belief().argmax(1)
+
+
+def agreement(model: Model, chains: list[Chain], labels: list[list[int]], docs: list[int]) -> float:
+    """The weight of agreement over word nodes under which labelled chains that ``model`` has not seen are most likely, by
+    the beliefs that message passing settles on."""
+    if not chains:
+        return 0.0
+    types = Types(model.weights)
+    ids = np.array([types.id(type_key(t, k)) for c in chains for t, k in zip(c.tokens, c.kinds)], np.int64)
+    spots = np.array([x for c in chains for x in c.spots], np.int64)
+    ends = np.cumsum([0, *(len(c.tokens) for c in chains)])
+    bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    token, hub = word_nodes(types, ids, np.repeat(np.array(docs), np.diff(ends)))
+    y = np.concatenate([np.array(x) for x in labels])
     e = emissions(types, ids, spots, bounds)
-    forth = np.zeros((len(edges), len(LABELS)), np.float32)
-    back = np.zeros_like(forth)
-    belief = marginals(e, model.trans, bounds)
-    psi = weight * AGREE
-    for _ in range(rounds if len(edges) else 0):
-        a, b = belief[edges[:, 0]] - back, belief[edges[:, 1]] - forth
-        new_forth, new_back = _lse(a[:, :, None] + psi[None], 1), _lse(b[:, :, None] + psi[None], 1)
-        forth, back = new_forth - new_forth.max(1, keepdims=True), new_back - new_back.max(1, keepdims=True)
-        moved = e.copy()
-        np.add.at(moved, edges[:, 1], forth)
-        np.add.at(moved, edges[:, 0], back)
-        belief = marginals(moved, model.trans, bounds)
-    return belief.argmax(1)
+    at = np.arange(len(y))
+    likely = [np.log(settled(e, model.trans, bounds, token, hub, w).belief()[at, y] + 1e-6).sum() for w in SKIP_WEIGHTS]
+    return SKIP_WEIGHTS[int(np.argmax(likely))]
 
 
 class Entity(NamedTuple):
@@ -521,68 +766,90 @@ class Entity(NamedTuple):
     kind: str
 
 
-def entities(part: Chain, y: list[int], clean: str, body: int) -> list[Entity]:
+def entities(starts, ends, spots, y, clean: str, body: int) -> list[Entity]:
     """Runs of labels as values. A run of a kind ends where a new one begins, or at a signature line's end (names)."""
     out: list[Entity] = []
-    i, n = 0, len(y)
-    while i < n:
-        kind = KIND[y[i]]
-        if not kind:
-            i += 1
+    n, upto = len(y), 0
+    for i in np.flatnonzero(np.asarray(y)).tolist():
+        if i < upto:
             continue
+        kind = KIND[y[i]]
         j = i + 1
         while j < n and KIND[y[j]] == kind:
-            if y[j] in (B_NAME, B_ADDR) or (kind == "email") or (kind == "name" and part.spots[j] & 1 and lone(part, j - 1)):
+            if y[j] in (B_NAME, B_ADDR) or (kind == "email") or (kind == "name" and spots[j] & 1 and lone(spots, j - 1)):
                 break
             j += 1
+        upto = j
         a, b = i, j - 1
-        while a <= b and not any(c.isalnum() for c in part.tokens[a]) and part.tokens[a][:1] not in "(+":
+        text = lambda t: clean[starts[t] : ends[t]]
+        while a <= b and not any(c.isalnum() for c in text(a)) and text(a)[:1] not in ("(", "+"):
             a += 1
-        while b >= a and not any(c.isalnum() for c in part.tokens[b]):
+        while b >= a and not any(c.isalnum() for c in text(b)):
             b -= 1
-        if a <= b:
-            text = clean[part.starts[a] : part.ends[b]]
-            if kind not in ("address",) or any(c.isdigit() for c in text):
-                out.append(Entity(body, part.starts[a], part.ends[b], kind))
-        i = j
+        if a <= b and (kind != "address" or any(c.isdigit() for c in clean[starts[a] : ends[b]])):
+            out.append(Entity(body, int(starts[a]), int(ends[b]), kind))
     return out
 
 
 class Finder:
-    """Finds values in batches of messages; keeps interned token types between batches."""
+    """Finds values in batches of messages; keeps token types, and lines as tokens, between batches."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.types = Types(model.weights)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.types = Types(self.model.weights)
+        self.lines: dict[str, np.ndarray] = {}
+        self.gap = np.array([[self.types.id(type_key("\n", SIGN))], [EMPTY_LINE], [0], [0]])
+
+    def line(self, text: str) -> np.ndarray:
+        """(type, spot, start, end) of the tokens of a segment."""
+        tokens, kinds, starts, ends, spots = scanned(text)
+        type_id = self.types.id
+        got = np.array([[type_id(t if g == WORD else type_key(t, g)) for t, g in zip(tokens, kinds)], spots, starts, ends])
+        if len(self.lines) < REMEMBERED and len(text) <= 200:
+            self.lines[text] = got
+        return got
 
     def find(self, raws: list[str | None], encoded: bool = True) -> list[tuple[list[Body], list[Entity]]]:
         found: list[tuple[list[Body], list[Entity]]] = []
-        ids: list[int] = []
-        keys: list[int] = []
-        spots: list[int] = []
-        docs: list[int] = []
+        if len(self.types.cur) > TYPES or len(self.lines) >= REMEMBERED:  # bounded memory
+            self._forget()
+        rows: list[np.ndarray] = []
+        offsets: list[int] = []
         bounds: list[tuple[int, int]] = []
-        where: list[tuple[int, int, Chain]] = []
-        if len(self.types.cur) > 200_000:  # bounded memory
-            self.types = Types(self.model.weights)
-        type_id = self.types.id
+        where: list[tuple[int, int]] = []
+        n = 0
+        known, line = self.lines.get, self.line
         for d, raw in enumerate(raws):
             own = bodies(raw, encoded)
             found.append((own, []))
             for k, body in enumerate(own):
-                part = chain(body.clean, 0, len(body.clean))
-                if not part.tokens:
-                    continue
-                bounds.append((len(ids), len(ids) + len(part.tokens)))
-                ids += [type_id(t if g == WORD else type_key(t, g)) for t, g in zip(part.tokens, part.kinds)]
-                keys += [type_id(t.lower()) if g == WORD and len(t) > 2 and t[:1].isupper() else 0 for t, g in zip(part.tokens, part.kinds)]
-                spots += part.spots
-                docs += [d] * len(part.tokens)
-                where.append((d, k, part))
+                lo = n
+                for begin, text, gap in segments(body.clean, 0, len(body.clean)):
+                    if gap and n > lo:
+                        rows.append(self.gap)
+                        offsets.append(begin)
+                        n += 1
+                    got = known(text)
+                    if got is None:
+                        got = line(text)
+                    rows.append(got)
+                    offsets.append(begin)
+                    n += got.shape[1]
+                if n > lo:
+                    bounds.append((lo, n))
+                    where.append((d, k))
         if bounds:
-            y = decode(self.model, self.types, np.array(ids), np.array(spots), bounds, skip_edges(keys, docs)).tolist()
-            for (lo, hi), (d, k, part) in zip(bounds, where):
-                found[d][1].extend(entities(part, y[lo:hi], found[d][0][k].clean, k))
+            ids, spots, starts, ends = np.concatenate(rows, 1)
+            shift = np.repeat(offsets, [r.shape[1] for r in rows])
+            docs = np.repeat([d for d, _ in where], [hi - lo for lo, hi in bounds])
+            y = decode(self.model, self.types, ids, spots, bounds, *word_nodes(self.types, ids, docs))
+            starts, ends = starts + shift, ends + shift
+            for (lo, hi), (d, k) in zip(bounds, where):
+                if y[lo:hi].any():
+                    found[d][1].extend(entities(starts[lo:hi], ends[lo:hi], spots[lo:hi], y[lo:hi], found[d][0][k].clean, k))
         return found
 
 
@@ -598,7 +865,7 @@ def train(raws: list[str], epochs: int = EPOCHS) -> Model:
     names = frozenset(w.lower() for raw in raws for words in header_names(raw) for w in words if len(w) > 2)
     whole = [bodies(raw) for raw in raws]
     common = frozenset(w for own in whole for b in own for w in SMALL_WORD.findall(b.clean)) | frozenset(w.lower() for own in whole for b in own for w in PLACE_WORD.findall(b.clean))
-    chains, labels = [], []
+    chains, labels, docs = [], [], []
     for k, own in enumerate(whole):
         for body in own:
             plain = {t for t in CAPITAL.findall(body.clean) if t.lower() not in names and zlib.crc32(f"{k}{t}".encode()) % PLAIN_LINES}
@@ -607,7 +874,11 @@ def train(raws: list[str], epochs: int = EPOCHS) -> Model:
                 if part.tokens:
                     chains.append(part)
                     labels.append(gold(body.clean, part, names, common))
-    return fit(chains, labels, epochs)
+                    docs.append(k)
+    held = [d < len(raws) * HELD for d in docs]
+    pick = lambda x, side: [v for v, h in zip(x, held) if h == side]
+    unseen = fit(pick(chains, False), pick(labels, False), HELD_EPOCHS)
+    return fit(chains, labels, epochs)._replace(skip=agreement(unseen, pick(chains, True), pick(labels, True), pick(docs, True)))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("value", pa.string())])

@@ -296,6 +296,51 @@ def test_marginals_against_enumeration():
     assert np.allclose(total, expected, atol=1e-3)
 
 
+def test_lattice_against_passes_along_each_chain():
+    """Blocks side by side give what a pass along every chain gives, also after scores change."""
+    rng = np.random.default_rng(3)
+    cuts = np.cumsum([0, 1, 700, 2, 127, 128, 129, 1, 300])
+    bounds = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    e, trans = rng.normal(size=(cuts[-1], 8)).astype(np.float32) * 3, rng.normal(size=(8, 8)).astype(np.float32) * 2
+    lattice = pii.Lattice(e, trans, bounds)
+    assert np.allclose(lattice.belief(), np.exp(pii.marginals(e, trans, bounds)), atol=1e-4)
+    some = np.array([0, 5, 400, 701, 830, 1387])
+    e[some] = rng.normal(size=(len(some), 8)) * 5
+    lattice.set(some, e[some])
+    want = np.exp(pii.marginals(e, trans, bounds))
+    assert np.allclose(lattice.belief(), want, atol=1e-4) and np.allclose(lattice.belief(some), want[some], atol=1e-4)
+
+
+def test_word_nodes():
+    """Equal, inflected and similar words of one message share a node; words of other messages and short ones do not."""
+    types = pii.Types(np.zeros((pii.BUCKETS, len(pii.LABELS)), np.float32))
+    words = ["Müller", "the", "Muller's", "Greta", "Gretta", "Hall", "Hill", "Müller", "Greta"]
+    docs = np.array([0, 0, 0, 0, 0, 0, 0, 1, 1])
+    token, hub = pii.word_nodes(types, np.array([types.id(w) for w in words]), docs)
+    groups = {frozenset(token[hub == h].tolist()) for h in set(hub.tolist())}
+    assert groups == {frozenset({0, 2}), frozenset({3, 4})}
+    assert pii.word_nodes(types, np.zeros(0, np.int64), np.zeros(0, np.int64))[0].size == 0
+
+
+def test_agreement_settles_words():
+    """A word that nothing tells at one place is told by its other occurrences, and only through the word node."""
+    w, trans = np.zeros((pii.BUCKETS, len(pii.LABELS)), np.float32), np.zeros((8, 8), np.float32)
+    w[list(pii.SPOTS.values()), pii.O] = 0.5
+    w[pii.relation(np.array(pii.type_features("dear")[1]), -1)[0], pii.B_NAME] = 6
+    raw = "From: a <a@x.example>\n\ndear Wrelka of the words\n\nit was Wrelka there\n\nand Wrelkas too\n\nand Sundholt\n"
+    names = lambda skip: sorted(own[v.body].clean[v.start : v.end] for own, values in pii.Finder(pii.Model(w, trans, skip)).find([raw]) for v in values if v.kind == "name")
+    assert names(0.0) == ["Wrelka"] and names(2.0) == ["Wrelka", "Wrelka", "Wrelkas"]
+
+
+def test_tokens_do_not_depend_on_segments():
+    """Numbers and addresses that reach over a line's end stay whole; other lines stand alone."""
+    text = "Call +44\n7700 900 181 now\nor write to ann\nat home dot example\n\n\nAB 12 34 56\nC\nthe end\n"
+    assert [t for _, t, _ in pii.segments(text, 0, len(text))] == ["Call +44\n7700 900 181 now", "or write to ann\nat home dot example", "AB 12 34 56\nC", "the end"]
+    part = pii.chain(text, 0, len(text))
+    assert "ann\nat home dot example" in part.tokens and "AB 12 34 56\nC" in part.tokens and [text[a:b] for a, b in zip(part.starts, part.ends)] == [t if t != "\n" else "" for t in part.tokens]
+    assert pii.TOKENS.match("me at 555.555.0154")[0] == "me"
+
+
 @pytest.fixture(scope="module")
 def finder(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
@@ -315,7 +360,7 @@ def test_held_out_values(finder):
             for lo, hi in pii.stretches(b.clean, set()):
                 part = pii.chain(b.clean, lo, hi)
                 if part.tokens:
-                    want |= {(b.raw_line(v.start), v.kind) for v in pii.entities(part, pii.gold(b.clean, part, names), b.clean, k)}
+                    want |= {(b.raw_line(v.start), v.kind) for v in pii.entities(part.starts, part.ends, part.spots, pii.gold(b.clean, part, names), b.clean, k)}
         got = {(own[v.body].raw_line(v.start), v.kind) for v in values}
         hit += len(want & got)
         missed += len(want - got)
