@@ -88,6 +88,43 @@ def test_automaton_is_complete():
             assert sorted(w for w, _, _ in trie.within(q, limit)) == [w for w in words if brute_distance(w, q) <= limit], (q, limit)
 
 
+@pytest.mark.parametrize("top", [5, 12])
+def test_paid_edits_lose_nothing(top):
+    """Following only edits that a word below can pay for finds every candidate with a positive score."""
+    import math
+
+    rng = random.Random(8)
+    letters = "abcdnrimuo0l1"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(300)} | {"northern", "tavern", "chronicle"})
+    counts = {w: int(10 ** rng.uniform(0.5, top)) for w in words}
+    trie = lexicon.Trie(list(counts.items()))
+    asked = ["northem", "tavcm", "chronide", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(40))]
+    for w in words[:40]:  # words with one or two known misreadings
+        for a, b in rng.sample(sorted(lexicon.CHEAP), 4):
+            asked.append(w.replace(a, b, 1))
+    for q in asked:
+        n = rng.choice([1, 2, 50])
+        gain = {w: math.log(c) - lexicon.channel_cost(w, q) - math.log(n) for w, c in counts.items()}
+        want = {w for w in words if w != q and brute_distance(w, q) <= lexicon.edit_limit(q) and gain[w] > 0}
+        got = {w for w, _ in lexicon.suggestions(trie, q, n)}
+        assert want <= got and all(gain[w] > 0 for w in got), (q, n)
+
+
+def test_candidates_do_not_depend_on_blocks(spark):
+    counts = spark.createDataFrame([("clog", 100), ("elog", 90_000), ("c1og", 1), ("snow", 800), ("sn0w", 2), ("slow", 900), ("s1ow", 1), ("bi" * 30, 900), ("b1" + "bi" * 29, 1)], "word string, n long")
+    one = sorted(map(tuple, lexicon.corrections(counts).collect()))
+    assert one == sorted(map(tuple, lexicon.corrections(counts, block=2, shard=1).collect())) == sorted(map(tuple, lexicon.corrections(counts, block=1, shard=3).collect()))
+    got = {}
+    for word, _, fix, score, rank in one:
+        got.setdefault(word, []).append((rank, fix))
+    assert [f for _, f in sorted(got["c1og"])] == ["elog", "clog"] and [f for _, f in got["b1" + "bi" * 29]] == ["bi" * 30] and got["sn0w"][0] == (0, "snow")
+
+
+def test_words_of_capitals_count(spark):
+    pages = spark.createDataFrame([("THE 0LD LAMP\nthe lamp stands",), ("THE OLD LAMP\nan old lamp",), (None,), ("",)], "text string")
+    assert {r.word: r.n for r in lexicon.word_counts(pages).collect()} == {"the": 1, "lamp": 2, "stands": 1, "an": 1, "old": 1, "0ld": 1}
+
+
 def test_corrections_and_context(spark):
     counts = spark.createDataFrame([("daughter", 900), ("daiightcr", 1), ("crooked", 90), ("cooked", 80), ("the", 5000), ("tbe", 2), ("ncver", 1), ("never", 500), ("2o", 4), ("lt", 3), ("it", 900)], "word string, n long")
     got = {r.word: r.fix for r in lexicon.corrections(counts).where("rank = 0").collect()}
@@ -103,6 +140,9 @@ def test_corrections_and_context(spark):
 def test_page_numbers():
     for line, page in (("12", 12), ("— l2 —", 12), ("[l3]", 13), ("Page S", 5), ("p. 9", 9), ("· iv ·", 4), ("  23", 23), ("30.", 30), ("- 2o -", 20)):
         assert pagetext.is_page_number(line, page), line
+    long = "[" * 30 + "12" + "]" * 60
+    for line, page in (("cdxii", 412), ("mdccclxxxviii", 1888), (long, 12), ("." * 50_000 + " 7", 7)):
+        assert pagetext.is_page_number(line, page), line[:40]
     for line, page in (("II", 2), ("13", 12), ("In 1867", 1867), ("", 1), ("7 ways", 7), ("x", None)):
         assert not pagetext.is_page_number(line, page), line
     assert pagetext.skeleton("THE CANDLF-LIT SECRETARY") == pagetext.skeleton("The Candle-Lit Secretary")
@@ -136,6 +176,19 @@ def test_page_text(spark):
     assert {(r.field, r.row_id) for r in ends.collect()} == {("page_text", 3)}
 
 
+def test_headers_are_titles_or_recur(spark):
+    """A line in capitals is a header if it is a title, misread or not, or heads other pages too; else it is text."""
+    text = "{0}\nThe evening kept the garden and the candle.\nIt was late."
+    rows = [
+        (1, "b", "s", 1, "body", "My title", False, text.format("DO NOT ENTER")), (2, "b", "s", 2, "body", "My title", False, text.format("MY T1TLE   2")),
+        (3, "b", "s", 3, "body", None, True, text.format("A LOST CHAPTER   3")), (4, "b", "s", 4, "body", None, True, text.format("A L0ST CHAPTER")),
+        (5, "b", "s", 5, "body", None, True, text.format("THE " + "VERY " * 30 + "LONG TITLE")), (6, "b", "s", 6, "body", "The " + "very " * 30 + "long title", False, text.format("It began.")),
+        (7, "c", "s", 1, "body", None, True, text.format("MY TITLE")), (8, "b", "s", 7, "body", None, True, text.format("THE MATHEMATICS   7")), (9, "b", "s", 8, "body", "The Mathematics", True, text.format("It began.")),
+    ]
+    got = {(r.result_id, r.line_no) for r in pagetext.found_lines(spark.createDataFrame(rows, RESULTS), spark.createDataFrame([], "book_id string, title string")).where("kind = 'header'").collect()}
+    assert got == {(2, 0), (3, 0), (4, 0), (5, 0), (8, 0)}
+
+
 def test_every_page_and_block(spark):
     """Front matter and lists give paragraphs, and blocks come out repaired, those without text too."""
     block = "array<struct<type string, level int, text string>>"
