@@ -26,6 +26,10 @@ def p4_notes(spark, root):
     return canonical.normalised_notes(table(spark, root, "page_notes"))
 
 
+def p4_classes(spark, root):
+    return canonical.look_alike_classes(table(spark, root, "page_notes"))
+
+
 def p5_found(spark, root):
     return boilerplate.blocks(table(spark, root, "page_results")).select("site", "line")
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "p3_blocks": p3_blocks,
     "p4_found": p4_found,
     "p4_notes": p4_notes,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_blocks": p5_blocks,
     "p5_cleaned": p5_cleaned,

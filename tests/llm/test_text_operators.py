@@ -35,9 +35,36 @@ def test_pairs_against_all_pairs(spark):
     df = spark.createDataFrame(rows + rows[:20], "note_id long, book_id string, marker string, text string").withColumn("marker_form", F.lit("clash"))
     form = lambda r: (r[1], canonical.canonical(r[2] or ""), canonical.canonical(r[3] or ""))
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if form(a) == form(b) and (a[2] or "", a[3] or "") != (b[2] or "", b[3] or "")}
+    got = [tuple(r) for r in canonical.look_alike_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    links = {}
+    for a, b in want:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    classes = canonical.look_alike_classes(df).collect()
+    assert {r.note_id: r.n_links for r in classes} == {k: len(v) for k, v in links.items()} and len(classes) == len(links)
+    of = {r.note_id: r.class_id for r in classes}
+    assert all(of[a] == of[b] for a, b in want) and all(form(rows[k]) == form(rows[c]) and c <= k for k, c in of.items())
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
+    """A stock note with many spellings is paired in shards; the pairs stay the same."""
+    rows = [(i, "x", "1", "Ibid" + "\u200b" * (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "note_id long, book_id string, marker string, text string")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 != b % 7}
+    monkeypatch.setattr(canonical, "PAIR_SHARD", 9)
     assert {tuple(r) for r in canonical.look_alike_pairs(df).collect()} == want
 
 
+def test_equal_looks_lie_in_one_block():
+    rng = random.Random(4)
+    pool = [chr(c) for c in (*range(0x20, 0x500), *range(0x1E00, 0x2100), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF60))]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(5))
+        look = canonical.canonical(text)
+        assert canonical.canonical(look) == look and canonical.canonical(look, True, True) == canonical.canonical(canonical.canonical(look), True, True)
+
+
 # ---- boilerplate ------------------------------------------------------------------------------------------------------
 
 PAGES = "result_id long, book_id string, site string, page int, title string, blocks array<struct<type:string,level:int,text:string,continued_from_previous:boolean,note_markers:array<string>>>"
