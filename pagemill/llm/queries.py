@@ -53,11 +53,7 @@ def p6_sites(spark, root):
 
 
 def p6_limits(spark, root):
-    from pyspark.sql import functions as F
-
-    pages, notes = table(spark, root, "page_results"), table(spark, root, "page_notes")
-    ends = truncation.judged_endings(notes).select(F.lit("note").alias("field"), "site", "text", F.expr("unfinished AND NOT complete").alias("unfinished"))
-    return truncation.limits(truncation.page_records(pages).unionByName(ends))
+    return truncation.limits(truncation.records(*(table(spark, root, t) for t in ("page_results", "page_notes", "books"))))
 
 
 def p7_packed(spark, root):

@@ -22,20 +22,31 @@ SENTENCE_END = pagetext.SENTENCE_END
 
 
 def lengths(text: Column) -> dict[str, Column]:
-    """Length of a text as stored under each encoding."""
-    escaped = F.replace(F.replace(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
-    quoted = F.regexp_replace(text, r'["\\\n\r\t]', "..")
+    """Length of a text as stored under each encoding: Unicode characters, UTF-8 bytes, UTF-16 units, HTML with markup signs
+    and quotes escaped, JSON with and without characters beyond ASCII as they are, and with line feeds as pairs."""
+    chars = F.length(text)
+    count = lambda signs: chars - F.length(F.regexp_replace(text, signs, ""))
+    astral = count(r"[\x{10000}-\x{10FFFF}]")
+    quoted = chars + count(r'["\\\x08\x0c\n\r\t]') + 5 * count(r"[\x00-\x07\x0b\x0e-\x1f]")
     return {
-        "characters": F.length(text),
+        "characters": chars,
         "utf8": F.octet_length(text),
-        "utf16": F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", "")),
-        "entities": F.length(escaped),
-        "json": F.length(quoted),
-        "json_ascii": F.length(quoted) + 5 * F.length(F.regexp_replace(quoted, r"[\x00-\x7f]", "")),
-        "crlf": F.length(text) + F.length(F.regexp_replace(text, r"[^\n]", "")),
+        "utf16": chars + astral,
+        "entities": chars + 4 * count("&") + 3 * count("[<>]") + 5 * count("[\"']"),
+        "json": quoted,
+        "json_ascii": quoted + 5 * count(r"[^\x00-\x7e]") + 6 * astral,
+        "crlf": chars + count(r"(?<!\r)\n"),
     }
 
 
+def length_under(text: Column, encoding: Column) -> Column:
+    """The length of a text under the encoding a column names."""
+    out = F.lit(None).cast("int")
+    for name, n in lengths(text).items():
+        out = F.when(encoding == name, n).otherwise(out)
+    return out
+
+
 def limits(records: DataFrame) -> DataFrame:
     """(field, site, encoding, n_limit, n_at, n_unfinished) of the storage limits that the lengths expose.
 
@@ -55,18 +66,26 @@ def limits(records: DataFrame) -> DataFrame:
     return best.select("field", "site", "b.*")
 
 
+#: Endings that stop without a full stop and are complete by their form: marked headings and chapter numerals.
+HEADING_END = r"\A\s*(?:#|Chapter\s[^:]*:|[IVXLC]+\.?\s*\z)"
+
+
 def page_endings(pages: DataFrame, seen: DataFrame, furniture: DataFrame) -> DataFrame:
-    """(result_id, ending, cut) of body pages that end unfinished.
+    """(result_id, ending, complete) of body pages that end unfinished and that the book's next page does not continue.
 
-    ``ending``: the last line that is no running header and no page number. ``cut``: the book's next page does not
-    continue it. ``seen``, ``furniture``: as of :mod:`pagemill.llm.pagetext`.
+    ``ending``: the last line that is no running header and no page number; ``complete``: it is a heading. ``seen``,
+    ``furniture``: as of :mod:`pagemill.llm.pagetext`.
     """
-    tails = seen.where("what = 'foot'").select("result_id", "book_id", "page", "line_no", F.col("left").alias("line")).join(furniture, ["result_id", "line_no"], "left_anti")
-    ends = tails.groupBy("result_id", "book_id", "page").agg(F.max_by("line", "line_no").alias("ending")).where(
-        ~F.col("ending").rlike(SENTENCE_END) & ~F.col("ending").rlike(r"\A\s*(?:#|Chapter\s[^:]*:|[IVXLC]+\.?\s*\z)")
-    )
-    goes_on = pages.where("page_continues_previous").select("book_id", (F.col("page") - 1).alias("page")).distinct().withColumn("goes_on", F.lit(True))
-    return ends.join(goes_on, ["book_id", "page"], "left").select("result_id", "ending", F.col("goes_on").isNull().alias("cut"))
+    tails = seen.where("what = 'foot'").select("result_id", "book_id", "page", "line_no", F.col("left").alias("line")).join(furniture.select("result_id", "line_no"), ["result_id", "line_no"], "left_anti")
+    ends = tails.groupBy("result_id", "book_id", "page").agg(F.max_by("line", "line_no").alias("ending")).where(~F.col("ending").rlike(SENTENCE_END))
+    goes_on = pages.where("page_continues_previous").select("book_id", (F.col("page") - 1).alias("page")).distinct()
+    return ends.join(goes_on, ["book_id", "page"], "left_anti").select("result_id", "ending", F.col("ending").rlike(HEADING_END).alias("complete"))
+
+
+def page_records(pages: DataFrame, ends: DataFrame) -> DataFrame:
+    """(field, row_id, site, text, unfinished, complete) of the pages of ``ends``, whose texts are read again: few pages end so."""
+    few = checked_small(ends.select("result_id", "complete"), "page-ends")
+    return pages.where(pagetext.BODY).join(few, "result_id").select(F.lit("page_text").alias("field"), F.col("result_id").alias("row_id"), "site", "text", (~F.col("complete")).alias("unfinished"), "complete").dropDuplicates(["row_id"])
 
 
 def note_endings(notes: DataFrame) -> DataFrame:
@@ -77,20 +96,26 @@ def note_endings(notes: DataFrame) -> DataFrame:
     return base.withColumns({"unfinished": ~F.col("form").rlike(SENTENCE_END) & ~F.col("form").rlike(r"[)\]]\s*\z") & (F.col("form") != ""), "pair": last_pair(F.col("form"))})
 
 
+def bare_words(text: Column) -> Column:
+    """The words of a text: lower-cased, digits as #, other signs gone but for the full stop that ends a word."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "#"), r"\s+", " ")
+    return F.split(F.regexp_replace(low, r"[.!?](?! |\z)|[^\p{L}# .!?]", ""), " ", -1)
+
+
+def plain_word(word: Column) -> Column:
+    return F.translate(word, ".!?", "")
+
+
 def word_pairs(text: Column) -> Column:
-    """[(pair of words with digits as #, whether a sentence ends after it)]."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[0-9]+", "#"), r"\s+")
-    bare = lambda w: F.regexp_replace(w, r"[^\p{L}#]", "")
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
-        lambda i: F.struct(F.concat_ws(" ", bare(F.element_at(words, i)), bare(F.try_element_at(words, i + 1))).alias("pair"), F.try_element_at(words, i + 1).rlike(r"[.!?]\z").alias("final")),
-    )
+    """[(pair of words, whether a sentence ends after it)]; the text is cleaned once, not word by word."""
+    words = bare_words(text)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(F.concat_ws(" ", plain_word(a), plain_word(b)).alias("pair"), b.rlike(r"[.!?]\z").alias("final")))
+    return pairs
 
 
 def last_pair(text: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(F.rtrim(text)), r"[0-9]+", "#"), r"\s+")
-    bare = lambda w: F.regexp_replace(w, r"[^\p{L}#]", "")
-    return F.concat_ws(" ", bare(F.try_element_at(words, F.lit(-2))), bare(F.try_element_at(words, F.lit(-1))))
+    words = bare_words(F.rtrim(text))
+    return F.concat_ws(" ", plain_word(F.try_element_at(words, F.lit(-2))), plain_word(F.try_element_at(words, F.lit(-1))))
 
 
 def complete_pairs(endings: DataFrame) -> DataFrame:
@@ -107,19 +132,27 @@ def judged_endings(notes: DataFrame) -> DataFrame:
     return written(endings.join(complete, "pair", "left").withColumn("complete", F.coalesce("complete", F.lit(False))), "judged-endings")
 
 
-def found(pages: DataFrame, notes: DataFrame, books: DataFrame) -> DataFrame:
-    """(field, row_id, site): ``page_text`` with result_id, ``note`` with note_id. Null and blank texts are no case."""
+def note_records(endings: DataFrame) -> DataFrame:
+    """:func:`judged_endings` in the columns of :func:`page_records`; ``unfinished`` without those the corpus shows complete."""
+    return endings.where("unfinished").select(F.lit("note").alias("field"), F.col("note_id").alias("row_id"), "site", "text", F.expr("NOT complete").alias("unfinished"), "complete")
+
+
+def records(pages: DataFrame, notes: DataFrame, books: DataFrame) -> DataFrame:
+    """Texts that stop without a sentence end, of both fields, written: field, row_id, site, text, unfinished, complete."""
     seen = written(pagetext.scan(pages), "page-scan")
-    marks = written(pagetext.furniture(seen, books), "furniture")
-    ends = page_endings(pages, seen, marks).where("cut").select(F.lit("page_text").alias("field"), F.col("result_id").alias("row_id"))
-    endings = judged_endings(notes)
-    own = limits(endings.select(F.lit("note").alias("field"), "site", "text", F.expr("unfinished AND NOT complete").alias("unfinished"))).where("encoding = 'characters'").select("site", "n_limit")
-    open_notes = (
-        endings.where("unfinished").join(checked_small(own, "note-limits"), "site", "left")
-        .where((F.length("text") == F.col("n_limit")) | ~F.col("complete"))
-        .select(F.lit("note").alias("field"), F.col("note_id").alias("row_id"))
-    )
-    return ends.unionByName(open_notes).distinct()
+    ends = written(page_endings(pages, seen, written(pagetext.furniture(seen, books), "furniture")), "page-endings")
+    return written(page_records(pages, ends).unionByName(note_records(judged_endings(notes))), "open-texts")
+
+
+def found(pages: DataFrame, notes: DataFrame, books: DataFrame) -> DataFrame:
+    """(field, row_id): ``page_text`` with result_id, ``note`` with note_id. Null and blank texts are no case.
+
+    A text is cut if it stops without a sentence end and its ending is not complete, or if it is, but the text is exactly
+    as long, under the encoding its source stores by, as that source's limit for the field.
+    """
+    rows = records(pages, notes, books)
+    own = checked_small(limits(rows).select("field", "site", "encoding", "n_limit"), "limits")
+    return rows.join(own, ["field", "site"], "left").where(F.col("unfinished") | (length_under(F.col("text"), F.col("encoding")) == F.col("n_limit"))).select("field", "row_id").distinct()
 
 
 def site_shares(pages: DataFrame, notes: DataFrame, cut: DataFrame) -> DataFrame:
@@ -132,8 +165,3 @@ def site_shares(pages: DataFrame, notes: DataFrame, cut: DataFrame) -> DataFrame
     joined = records.join(cut.withColumn("is_cut", F.lit(1)), ["field", "row_id"], "left")
     out = joined.groupBy("field", "site").agg(F.count("*").alias("n_records"), F.coalesce(F.sum("is_cut"), F.lit(0)).alias("n_cut"))
     return out.withColumn("share", F.round(F.col("n_cut") / F.col("n_records"), 6))
-
-
-def page_records(pages: DataFrame) -> DataFrame:
-    """field, site, text, unfinished of body pages, for :func:`limits`: the text's own end, without page furniture rules."""
-    return pages.where(pagetext.BODY).dropDuplicates(["result_id"]).select(F.lit("page_text").alias("field"), "site", "text", F.col("text").rlike(r"[\p{Ll},;:\-] ?\z").alias("unfinished"))

@@ -249,10 +249,62 @@ def test_note_limits(spark):
 
 
 def test_length_encodings(spark):
+    import html
+    import json
+
     t = "a&b\n\"é\\😀"
     got = spark.createDataFrame([(t,)], "t string").select(*(c.alias(k) for k, c in truncation.lengths(F.col("t")).items())).collect()[0]
     assert got.characters == 8 and got.utf8 == len(t.encode()) and got.utf16 == len(t.encode("utf-16-le")) // 2 and got.crlf == 9
     assert got.entities == len(t.replace("&", "&amp;").replace('"', "&quot;")) and got.json == 11
+    rng = random.Random(6)
+    pool = [*map(chr, range(0, 0x180)), "\U0001f600", "\U00010000", "\uffff", "漢", "\r\n", "'", "<", ">"]
+    texts = ["\U0001f600\x01", "", *("".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(400))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *(c.alias(k) for k, c in truncation.lengths(F.col("t")).items())).collect()
+    for r in rows:
+        t = r.t
+        want = (len(t), len(t.encode()), len(t.encode("utf-16-le")) // 2, len(html.escape(t)), len(json.dumps(t, ensure_ascii=False)) - 2, len(json.dumps(t)) - 2, len(re.sub("(?<!\r)\n", "\r\n", t)))
+        assert tuple(r)[1:] == want, t
+
+
+@pytest.mark.parametrize("encoding", ["characters", "utf8", "entities", "json_ascii"])
+def test_limits_of_any_encoding_decide(spark, encoding):
+    """Texts at their source's limit are cut though their last words look complete, under whatever encoding it stores by."""
+    import html
+    import json
+
+    size = {"characters": len, "utf8": lambda t: len(t.encode()), "entities": lambda t: len(html.escape(t)), "json_ascii": lambda t: len(json.dumps(t)) - 2}[encoding]
+    rng = random.Random(3)
+
+    def stored(end: str, limit: int) -> str:
+        """A text of exactly ``limit`` units that ends so, of a length in characters of its own."""
+        while True:
+            t = "".join(rng.choice("abcdefgé&'  ") for _ in range(rng.randrange(20, limit))) + end
+            while size(t) < limit:
+                t = "a" + t
+            if size(t) == limit:
+                return t
+
+    whole = [(i, "s", f"He wrote of the garden at evening{'.' if i % 3 else ''}") for i in range(90)]
+    cut = [(500 + i, "s", stored(f" qua{'bcdfghjklm'[i]}", 90)) for i in range(10)]
+    hidden = [(600 + i, "s", stored(" at evening", 90)) for i in range(4)]
+    near = [(700, "s", stored(" at evening", 89)), (701, "s", stored(" at evening", 91))]
+    df = spark.createDataFrame(whole + cut + hidden + near, "note_id long, site string, text string")
+    empty = spark.createDataFrame([], RESULTS)
+    books = spark.createDataFrame([], "book_id string, title string")
+    lim = truncation.limits(truncation.records(empty, df, books)).collect()
+    assert [(r.field, r.encoding, r.n_limit) for r in lim] == [("note", encoding, 90)]
+    assert {r.row_id for r in truncation.found(empty, df, books).collect()} == {n for n, _, _ in cut + hidden}
+
+
+def test_page_limits_decide(spark):
+    """A page that ends with what looks like a heading is cut if it is as long as its source's limit."""
+    def page(i, end, n):
+        return (i, "b%d" % i, "s", 1, "body", None, False, ("The old garden kept the candle. " * 9 + "\n")[-(n - len(end)):] + end)
+
+    rows = [page(i, "the gar", 200) for i in range(8)] + [page(20, "\nChapter II: The Ga", 200), page(21, "\nChapter II: The Ga", 190), page(22, "It ended.", 200)]
+    df = spark.createDataFrame(rows, RESULTS)
+    got = truncation.found(df, spark.createDataFrame([], "note_id long, site string, text string"), spark.createDataFrame([], "book_id string, title string"))
+    assert {r.row_id for r in got.collect()} == {*range(8), 20}
 
 
 # ---- messages ---------------------------------------------------------------------------------------------------------
