@@ -14,6 +14,7 @@ import base64
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -90,20 +91,17 @@ def group_limits(histogram: dict[int, int], groups: int = GROUPS) -> list[tuple[
     return [x for x in out if x[1]]
 
 
-def configurations(groups: list[tuple[int, int]], capacity: int, rounds: int = 2000) -> list[tuple[list[int], int]]:
+def configurations(groups: list[tuple[int, int]], capacity: int) -> list[tuple[list[int], int]]:
     """[(pieces taken of each group, containers filled so)], using up every group exactly.
 
     Column by column: the fullest configuration that the remaining counts allow is found by a bounded knapsack over
-    the few sizes, and used as often as the counts allow.
+    the few sizes, and used as often as the counts allow. Every use leaves some size with fewer pieces than one
+    configuration takes, and a size takes at most capacity / size pieces, so rounds are bounded by the groups alone.
     """
     sizes, left = [s for s, _ in groups], [n for _, n in groups]
     out: list[tuple[list[int], int]] = []
     while any(left):
-        take = _fullest(sizes, left, capacity) if len(out) < rounds else None
-        if take is None:  # many small leftovers: one size at a time
-            i = max(i for i, n in enumerate(left) if n)
-            fit = min(capacity // sizes[i], left[i])
-            take = [fit if j == i else 0 for j in range(len(sizes))]
+        take = _fullest(sizes, left, capacity)
         times = min(left[i] // t for i, t in enumerate(take) if t)
         out.append((take, times))
         left = [n - t * times for n, t in zip(left, take)]
@@ -169,11 +167,11 @@ def best_fit(sizes: np.ndarray, residuals: list[tuple[int, str]], capacity: int,
     return out
 
 
-def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
+def pieces(counts: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """(capacity_id, capacity, doc_id, piece, start_token, tokens): a message is split only if it exceeds the capacity,
-    into full containers and a rest."""
-    caps = capacities.where("tokens > 0").select("capacity_id", F.col("tokens").cast("bigint").alias("capacity")).distinct()
-    all_ = counts.where("tokens > 0").crossJoin(F.broadcast(caps.limit(64)))  # a fixed table of three sizes
+    into full containers and a rest. ``capacities``: (id, tokens)."""
+    each = F.array(*(F.struct(F.lit(i).cast("int").alias("capacity_id"), F.lit(n).cast("bigint").alias("capacity")) for i, n in capacities))
+    all_ = counts.where("tokens > 0").select("doc_id", "tokens", F.explode(each).alias("c")).select("doc_id", "tokens", "c.*")
     n = F.ceil(F.col("tokens") / F.col("capacity")).cast("int")
     return (
         all_.select("capacity_id", "capacity", "doc_id", F.col("tokens").alias("whole"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
@@ -183,7 +181,12 @@ def pieces(counts: DataFrame, capacities: DataFrame) -> DataFrame:
     )
 
 
+#: Containers sizes packed in one pass; more take several passes.
+CAPACITY_BLOCK = 64
+
+
 PACKED = ["capacity_id", "capacity", "container", "doc_id", "piece", "start_token", "tokens"]
+PACKED_SCHEMA = "capacity_id int, capacity bigint, container string, doc_id bigint, piece int, start_token bigint, tokens bigint"
 
 
 def pack(counts: DataFrame, capacities: DataFrame, groups: int = GROUPS, small: float = SMALL, shard: int = SHARD) -> DataFrame:
@@ -192,8 +195,17 @@ def pack(counts: DataFrame, capacities: DataFrame, groups: int = GROUPS, small:
     No container exceeds its capacity; every token of every message is placed once; messages without tokens are not
     placed. ``counts``: (doc_id, tokens).
     """
+    sizes = sorted({(r.capacity_id, r.tokens) for r in capacities.where("tokens > 0").select("capacity_id", "tokens").toLocalIterator()})
+    blocks = [sizes[i : i + CAPACITY_BLOCK] for i in range(0, len(sizes), CAPACITY_BLOCK)] or [[]]
+    return reduce(DataFrame.unionByName, (_pack(counts, b, groups, small, shard) for b in blocks))
+
+
+def _pack(counts: DataFrame, capacities: list[tuple[int, int]], groups: int, small: float, shard: int) -> DataFrame:
     spark: SparkSession = counts.sparkSession
-    parts = written(pieces(counts, capacities), "pieces")
+    if not capacities:
+        return spark.createDataFrame([], PACKED_SCHEMA)
+    tasks = spark.sparkContext.defaultParallelism
+    parts = written(pieces(counts.repartition(tasks, "doc_id"), capacities), "pieces")
     full = parts.where("tokens = capacity").withColumn("container", F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")))
     rest = parts.where("tokens < capacity")
     histogram: dict[tuple[int, int], dict[int, int]] = {}
@@ -207,10 +219,17 @@ def pack(counts: DataFrame, capacities: DataFrame, groups: int = GROUPS, small:
     plans = {key: configurations(g, key[1]) for key, g in limits.items()}
 
     # The group and, within shards of bounded size, the number of each large piece.
-    bound = spark.createDataFrame([(c, i, s) for (c, _), g in limits.items() for i, (s, _) in enumerate(g)] or [(-1, 0, 0)], "capacity_id int, grp int, upper bigint")
-    steps = bound.groupBy("capacity_id").agg(F.array_sort(F.collect_list(F.struct("upper", "grp"))).alias("steps"))
-    large = rest.where(F.col("tokens") > F.lit(small) * F.col("capacity")).join(F.broadcast(steps), "capacity_id")
-    large = large.withColumn("grp", F.filter("steps", lambda s: s["upper"] >= F.col("tokens"))[0]["grp"]).drop("steps")
+    uppers = {c: np.array([s for s, _ in g]) for (c, _), g in limits.items()}
+
+    @F.pandas_udf("int")
+    def group_of(cap: pd.Series, tokens: pd.Series) -> pd.Series:
+        out, caps, sizes = np.zeros(len(cap), np.int32), cap.to_numpy(), tokens.to_numpy()
+        for c in np.unique(caps):
+            rows = caps == c
+            out[rows] = np.searchsorted(uppers[int(c)], sizes[rows])
+        return pd.Series(out)
+
+    large = rest.where(F.col("tokens") > F.lit(small) * F.col("capacity")).withColumn("grp", group_of("capacity_id", "tokens"))
     n_large = sum(sum(h.values()) for h in histogram.values())
     shards = max(1, math.ceil(n_large / shard))
     large = large.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
@@ -263,7 +282,7 @@ def pack(counts: DataFrame, capacities: DataFrame, groups: int = GROUPS, small:
         names = best_fit(items.tokens.to_numpy(), list(zip(open_.tokens.tolist(), open_.container.tolist())), cap, f"s-{sh}")
         return items.assign(container=names)[PACKED]
 
-    filled = both.groupBy("capacity_id", "shard").applyInPandas(fill, "capacity_id int, capacity bigint, container string, doc_id bigint, piece int, start_token bigint, tokens bigint")
+    filled = both.groupBy("capacity_id", "shard").applyInPandas(fill, PACKED_SCHEMA)
     return full.select(*PACKED).unionByName(placed).unionByName(filled)
 
 
