@@ -8,6 +8,7 @@ unknown character sets are tolerated.
 from __future__ import annotations
 
 import binascii
+import codecs
 import html
 import re
 from typing import NamedTuple
@@ -32,6 +33,7 @@ class Part(NamedTuple):
     kind: str  # plain or html
     encoding: str  # "", quoted-printable or base64
     lines: list[Line]
+    raw_lines: tuple[int, list[str]] = (0, [])  # of base64: the first raw line's number, and the lines
 
 
 def fields(lines: list[str]) -> dict[str, str]:
@@ -74,17 +76,19 @@ def undo_quoted(lines: list[str], first: int) -> list[Line]:
     return out
 
 
+def base64_line(line: str) -> bytes:
+    """The bytes of one line; signs outside the alphabet are skipped, and a damaged line gives none."""
+    bare = NOT_BASE64.sub("", line)
+    bare = bare[: len(bare) - 1] if len(bare) % 4 == 1 else bare
+    try:
+        return binascii.a2b_base64(bare + "=" * (-len(bare) % 4))
+    except binascii.Error:
+        return b""
+
+
 def undo_base64(lines: list[str]) -> str:
-    """Base64 lines as text; signs outside the alphabet are skipped, and a damaged line loses at most itself."""
-    raw = bytearray()
-    for line in lines:
-        bare = NOT_BASE64.sub("", line)
-        bare = bare[: len(bare) - 1] if len(bare) % 4 == 1 else bare
-        try:
-            raw += binascii.a2b_base64(bare + "=" * (-len(bare) % 4))
-        except binascii.Error:
-            continue
-    return raw.decode("utf-8", "replace")
+    """Base64 lines as text; a damaged line loses at most itself."""
+    return b"".join(map(base64_line, lines)).decode("utf-8", "replace")
 
 
 def _part(head: dict[str, str], body: list[str], first: int) -> Part | None:
@@ -94,7 +98,7 @@ def _part(head: dict[str, str], body: list[str], first: int) -> Part | None:
     shape = "html" if kind.startswith("text/html") else "plain"
     encoding = head.get("content-transfer-encoding", "").strip().lower()
     if encoding == "base64":
-        return Part(shape, encoding, [Line(x, ()) for x in undo_base64(body).split("\n")])
+        return Part(shape, encoding, [Line(x, ()) for x in undo_base64(body).split("\n")], (first, body))
     if encoding == "quoted-printable":
         return Part(shape, encoding, undo_quoted(body, first))
     return Part(shape, encoding, [Line(x, ((0, first + i),)) for i, x in enumerate(body)])
@@ -154,3 +158,67 @@ def shown(raw: str | None) -> str:
             lines = strip_markup("\n".join(lines)).split("\n")
         out += [REPLY_MARK.sub("", x) if ">" in x else x for x in lines]
     return "\n".join(out)
+
+
+CHARACTER = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+MARKED_LINE = re.compile(REPLY_MARK.pattern, re.M)
+
+
+class Traced(NamedTuple):
+    """A shown text and, a character, the raw text's range it comes from: the character itself where the part has no
+    transfer encoding, else its raw line."""
+
+    text: str
+    starts: list[int]
+    ends: list[int]
+
+    def replaced(self, pattern: re.Pattern, new) -> Traced:
+        out, starts, ends, at = [], [], [], 0
+        for m in pattern.finditer(self.text):
+            put = new(m)
+            out += [self.text[at : m.start()], put]
+            starts += self.starts[at : m.start()] + [self.starts[m.start()]] * len(put)
+            ends += self.ends[at : m.start()] + [self.ends[m.end() - 1]] * len(put)
+            at = m.end()
+        return Traced("".join([*out, self.text[at:]]), starts + self.starts[at:], ends + self.ends[at:])
+
+
+def traced(raw: str | None) -> Traced:
+    """:func:`shown` with the way back to the raw text, for messages in which something was found."""
+    begins, at = [], 0
+    for line in (raw or "").split("\n"):
+        begins.append((at, at + len(line)))
+        at += len(line) + 1
+    whole = Traced("", [], [])
+    for i, part in enumerate(parts(raw)):
+        text, starts, ends = [], [], []
+
+        def add(chunk: str, n: int, exact: int | None = None) -> None:
+            a, b = begins[n]
+            text.append(chunk)
+            starts.extend(range(a + exact, a + exact + len(chunk)) if exact is not None else [a] * len(chunk))
+            ends.extend(range(a + exact + 1, a + exact + len(chunk) + 1) if exact is not None else [b] * len(chunk))
+
+        if part.encoding == "base64":
+            first, body = part.raw_lines
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            for k, line in enumerate(body):
+                add(decoder.decode(base64_line(line), k + 1 == len(body)), first + k)
+        else:
+            for k, line in enumerate(part.lines):
+                if k:
+                    add("\n", line.origin[0][1])
+                cuts = [o for o, _ in line.origin[1:]] + [len(line.text)]
+                for (offset, n), upto in zip(line.origin, cuts):
+                    add(line.text[offset:upto], n, offset if part.encoding != "quoted-printable" else None)
+        one = Traced("".join(text), starts, ends)
+        if part.kind == "html":
+            if "<!--" in one.text or "<s" in one.text or "<S" in one.text:
+                one = one.replaced(HIDDEN, lambda m: " ")
+            one = one.replaced(BREAK_TAG, lambda m: "\n").replaced(TAG, lambda m: "").replaced(CHARACTER, lambda m: html.unescape(m[0]))
+        one = one.replaced(MARKED_LINE, lambda m: "")
+        if i:
+            edge = whole.ends[-1] if whole.ends else 0
+            whole = Traced(whole.text + "\n", [*whole.starts, edge], [*whole.ends, edge])
+        whole = Traced(whole.text + one.text, whole.starts + one.starts, whole.ends + one.ends)
+    return whole

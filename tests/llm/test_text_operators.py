@@ -350,12 +350,48 @@ def test_leaks_against_brute_force(spark):
     it = spark.createDataFrame(items, "item_id long, suite string, text string, answer string")
     assert {tuple(r) for r in leaks.found(df, it).collect()} == want
     assert leaks.found(df, it.where("item_id < 0")).count() == 0
-    for r in leaks.passages(df, it).collect():
-        text = mail.shown(dict(docs)[r.doc_id]).lower()
-        assert len(re.findall(r"[^\W_]+", text[r.start : r.end])) == r.n_words
+    every = leaks.passages(df, it).distinct().collect()
+    for r in every:
+        raw = dict(docs)[r.doc_id]
+        text = mail.shown(raw)
+        own = [w.lower() for w in re.findall(r"[^\W_]+", text[r.start : r.end])]
+        assert len(own) == r.n_words and own == items[r.item_id][2].split()[r.item_word : r.item_word + r.n_words]
+        assert leaks.words(raw[r.raw_start : r.raw_end].replace("> ", "")) == own
+    assert set(leaks.passages(df, it, limit=20).distinct().collect()) == set(every)  # any number of automata
     assert {r.item_id for r in leaks.leaked_items(df, it).where("n_docs > 0").collect()} == {i for _, i in want}
 
 
+def test_passages_go_on_in_text_and_item(spark):
+    """An item's second half before its first is two passages, not one; letters that grow when lower-cased move nothing."""
+    w = [f"w{i}" for i in range(24)]
+    docs = spark.createDataFrame([(1, "A: b\n\nİİİ " + " ".join(w[12:] + w[:12])), (2, "A: b\n\n" + " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "s", " ".join(w), None)], "item_id long, suite string, text string, answer string")
+    rows = sorted((r.doc_id, r.first_word, r.n_words, r.item_word, r.raw_start) for r in leaks.passages(docs, items).collect())
+    assert rows == [(1, 1, 12, 12, 10), (1, 13, 12, 0, 10 + len(" ".join(w[12:])) + 1), (2, 0, 24, 0, 6)]
+    (item,) = leaks.leaked_items(docs, items.withColumn("answer", F.lit("a short one"))).collect()
+    assert (item.n_docs, item.longest, item.short_answer) == (2, 24, True)
+
+
+def test_raw_offsets_of_all_encodings(spark, small):
+    import base64
+
+    passage = "one two three four five six seven eight nine ten eleven zwölf"
+    html = "<p>intro</p><!-- no --><div>" + passage.replace("six", "<b>six</b>").replace("ö", "&ouml;") + "</div>"
+    coded = base64.encodebytes(("Hallo\n" * 20 + passage + "\nend" * 20).encode()).decode()
+    soft = "Hallo =C3=B6\n" + passage.replace("ö", "=C3=B6").replace("seven ", "seven =\n") + "\nend"
+    head = "A: b\r\nContent-Type: text/{0}\r\nContent-Transfer-Encoding: {1}\r\n\r\n"
+    raws = [head.format("plain", "8bit") + "> intro\r\n> " + passage + "\r\nend", head.format("html", "8bit") + html, head.format("plain", "base64") + coded, head.format("plain", "quoted-printable") + soft, RAW]
+    items = spark.createDataFrame([(5, "s", passage, None)], "item_id long, suite string, text string, answer string")
+    got = {r.doc_id: r for r in leaks.passages(spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string"), items).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    part = {k: raws[k][r.raw_start : r.raw_end] for k, r in got.items()}
+    assert part[0] == passage and mail.strip_markup(part[1]) == passage and part[3] == soft.split("\n", 1)[1].removesuffix("\nend")
+    assert passage in mail.undo_base64(part[2].split("\n")) and len(part[2]) < 250
+    for r in table(spark, small, "documents").select("text").collect() + [(x,) for x in raws]:
+        back = mail.traced(r[0])
+        assert back.text == mail.shown(r[0]) and len(back.text) == len(back.starts) == len(back.ends)
+
+
 # ---- packing ----------------------------------------------------------------------------------------------------------
 
 
@@ -391,6 +427,20 @@ def test_packing(spark, shard):
     assert packing.pack(df.where("tokens < 0"), caps).count() == 0
 
 
+def test_many_capacities_are_packed_whole(spark):
+    """More sizes than one pass takes, all packed; and plans of many rounds use every piece."""
+    counts = spark.createDataFrame([(i, 1 + i % 40) for i in range(60)], "doc_id long, tokens long")
+    caps = spark.createDataFrame([(k, 50 + k) for k in range(70)], "capacity_id int, tokens int")
+    placed = packing.pack(counts, caps).groupBy("capacity_id").agg(F.sum("tokens").alias("t")).collect()
+    assert {r.capacity_id: r.t for r in placed} == {k: sum(1 + i % 40 for i in range(60)) for k in range(70)}
+    groups = [(s, 1 + s % 7) for s in range(600, 9000, 3)]
+    plan = packing.configurations(groups, 9000)
+    used = np.zeros(len(groups), int)
+    for take, times in plan:
+        used += np.array(take) * times
+    assert len(plan) > 2000 and used.tolist() == [n for _, n in groups]
+
+
 def test_configurations_use_every_piece():
     rng = random.Random(1)
     for _ in range(20):
