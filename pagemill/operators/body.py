@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.operators import ordered
-from pagemill.runtime import written
+from pagemill.runtime import join_key_row, written
 
 CHAPTER_ONLY = rf"\A第[{tx.HEADING_NUMERALS}]+章\z"
 
@@ -29,17 +29,34 @@ def is_running_header(block: Column, index: Column, page_title: Column, continue
     return (index == 0) & continues & (block["type"] == "heading") & (same | listed | key.rlike(CHAPTER_ONLY))
 
 
-def kept_blocks(pages: DataFrame, headings: tuple[str, ...] = ()) -> DataFrame:
-    """Pages with ``kept``: their blocks with text, each with its ``block_index``; running headers and headings that
-    repeat an illustration's caption are left out. Pages without blocks get them from their text."""
+def planned_pages(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pages with ``_plan``, the planned level by block number, and ``_has_plan``, whether their book has a plan.
+
+    ``plan``: book_id, page, block_index, level, ord; of items with equal keys the last counts."""
+    items = plan.groupBy("book_id", "page", "block_index").agg(F.max_by("level", "ord").alias("level"))
+    per = items.groupBy("book_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("block_index", "level"))).alias("_plan"))
+    books = plan.select("book_id").distinct().withColumn("_has_plan", F.lit(True))
+    rows = pages.withColumn("_page", F.coalesce("page", F.lit(0))).join(per.withColumnRenamed("page", "_page"), ["book_id", "_page"], "left").drop("_page")
+    rows = join_key_row(rows, books, "book_id", ["result_id"], "planned-books", "left")
+    return rows.withColumns({"_has_plan": F.coalesce("_has_plan", F.lit(False)), "_plan": F.coalesce("_plan", F.create_map().cast("map<int,int>"))})
+
+
+def kept_blocks(pages: DataFrame, headings: tuple[str, ...] = (), plan: DataFrame | None = None) -> DataFrame:
+    """Pages with ``kept``: their blocks with text, each with its ``block_index``. Pages without blocks get them from
+    their text.
+
+    In a book with a plan exactly the planned headings stay, at their planned level. In any other running headers and
+    headings that repeat an illustration's caption are left out.
+    """
+    pages = pages.withColumns({"_has_plan": F.lit(False), "_plan": F.create_map().cast("map<int,int>")}) if plan is None else planned_pages(pages, plan)
     kind = pages.schema["blocks"].dataType.elementType
     made = F.transform(tx.fallback_blocks(F.col("text")), lambda b: F.struct(b["type"].alias("type"), b["level"].alias("level"), b["text"].alias("text"), b["continued_from_previous"].alias("continued_from_previous"), F.array().cast("array<string>").alias("note_markers")).cast(kind))
     base = pages.withColumn("blocks", F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(made))
     captions = F.array_distinct(F.filter(F.transform("illustrations", lambda i: tx.text_key(i["caption"])), lambda c: c != ""))
-    listed = F.transform("blocks", lambda b, i: F.struct(i.alias("block_index"), b["type"].alias("type"), b["level"].alias("level"), tx.strip(tx.text_or_empty(b["text"])).alias("text"), F.coalesce(b["continued_from_previous"], F.lit(False)).alias("continued"), F.filter(F.transform(F.coalesce(b["note_markers"], F.array().cast("array<string>")), tx.strip), lambda m: F.coalesce(m != "", F.lit(False))).alias("markers")))
+    listed = F.transform("blocks", lambda b, i: F.struct(i.alias("block_index"), b["type"].alias("type"), F.coalesce(F.try_element_at("_plan", i), b["level"]).alias("level"), F.map_contains_key("_plan", i).alias("planned"), tx.strip(tx.text_or_empty(b["text"])).alias("text"), F.coalesce(b["continued_from_previous"], F.lit(False)).alias("continued"), F.filter(F.transform(F.coalesce(b["note_markers"], F.array().cast("array<string>")), tx.strip), lambda m: F.coalesce(m != "", F.lit(False))).alias("markers")))
     base = base.withColumns({"_captions": captions, "_listed": listed})
-    skip = lambda z: (z["type"] == "heading") & (F.array_contains("_captions", tx.text_key(z["text"])) | is_running_header(z, z["block_index"], F.col("title"), F.col("page_continues_previous"), headings))
-    return base.withColumn("kept", F.filter("_listed", lambda z: (z["text"] != "") & ~F.coalesce(skip(z), F.lit(False)))).withColumn("_markers", F.array_distinct(F.flatten(F.transform("_listed", lambda z: z["markers"])))).drop("_captions", "_listed")
+    skip = lambda z: (z["type"] == "heading") & ~z["planned"] & (F.col("_has_plan") | F.array_contains("_captions", tx.text_key(z["text"])) | is_running_header(z, z["block_index"], F.col("title"), F.col("page_continues_previous"), headings))
+    return base.withColumn("kept", F.filter("_listed", lambda z: (z["text"] != "") & ~F.coalesce(skip(z), F.lit(False)))).withColumn("_markers", F.array_distinct(F.flatten(F.transform("_listed", lambda z: z["markers"])))).drop("_captions", "_listed", "_has_plan", "_plan")
 
 
 def matched_notes(kept: DataFrame) -> DataFrame:

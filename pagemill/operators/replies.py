@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import jsonx
@@ -51,12 +51,26 @@ def normalised(replies: DataFrame, reply: str = "response_text") -> DataFrame:
     return rows.withColumn("status", F.when(F.col("tier") == "none", "invalid_json").otherwise(F.col("status"))).drop("_json", "_is_object", "_r", "_text", "raw_blocks", "_notes", "_figures")
 
 
+# What the server's failures say where it cannot read an image.
+VISION_FAILURES = ("Qwen3VLProcessor", "Qwen2VLProcessor")
+FAILED_IMAGES = ("Failed to apply", "images")
+
+
+def is_vision_failure(message: Column) -> Column:
+    """Whether a failure's text, raw or labelled, says that the images could not be prepared."""
+    named = F.lit(False)
+    for name in VISION_FAILURES:
+        named = named | message.contains(name)
+    apply, images = FAILED_IMAGES
+    return F.coalesce(named | (message.contains(apply) & message.contains(images)) | F.lower(message).contains("vision preprocessing failed"), F.lit(False))
+
+
 def error_class(message: str = "error", finish: str = "finish_reason"):
     """The class of a failed attempt by its message and finish reason."""
     m = F.lower(tx.text_or_empty(F.col(message)))
     return (
-        F.when(F.col(finish).isin("length", "max_tokens"), "truncated")
-        .when(m.contains("vision preprocessing"), "fatal_vision")
+        F.when(F.lower(finish).isin("length", "max_tokens"), "truncated")
+        .when(is_vision_failure(F.col(message)), "fatal_vision")
         .when(m.contains("repeat"), "repetition")
         .when(m.contains("json"), "invalid_json")
         .when(m != "", "other")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.operators import ordered
+from pagemill.runtime import join_key_row, written
 
 #: Page roles whose headings are no entries; most often a heading may recur in a book; longest heading; chunk size.
 SKIP_ROLES = ("cover", "blank", "copyright", "back_cover")
 MAX_REPEATS, MAX_LENGTH, CHUNK = 3, 80, 60
+#: Parts of a heading's rows where they meet the count of its repeats.
+REPEAT_PARTS = 8
 KEYS = ["book_id", "page", "block_index"]
 #: Block numbers of a page stay below this, so that (page, block) orders as one number.
 PAGE_STEP = 100_000
@@ -36,14 +39,20 @@ def filtered(cands: DataFrame) -> DataFrame:
     longer than MAX_LENGTH, or of digits only. Repeats are counted before anything is dropped.
     """
     keyed = cands.withColumns({"key": tx.heading_key(F.col("text")), "cleaned": tx.cleanup(F.col("text"))})
-    often = keyed.groupBy("book_id", "key").agg(F.count("*").alias("repeats"))
-    judged = keyed.join(often, ["book_id", "key"]).withColumn(
+    # Only keys that recur too often meet the rows, each cut into parts: a heading may stand on any share of a book's pages.
+    often = keyed.groupBy("book_id", "key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_REPEATS)
+    often = often.select("book_id", "key", F.explode(F.array(*map(F.lit, range(REPEAT_PARTS)))).alias("_part"), F.lit(True).alias("often"))
+    parted = keyed.withColumn("_part", F.pmod(F.xxhash64("page", "block_index"), F.lit(REPEAT_PARTS)).cast("int"))
+    judged = parted.join(often, ["book_id", "key", "_part"], "left").withColumn(
         "keep",
-        (F.col("key") != "") & ~F.coalesce(F.col("page_role").isin(*SKIP_ROLES), F.lit(False)) & (F.col("repeats") <= MAX_REPEATS)
+        (F.col("key") != "") & ~F.coalesce(F.col("page_role").isin(*SKIP_ROLES), F.lit(False)) & F.col("often").isNull()
         & (F.length("cleaned") <= MAX_LENGTH) & ~F.col("key").rlike(r"\A\p{Nd}+\z"),
     )
-    left = judged.groupBy("book_id").agg(F.max("keep").alias("any_kept"))
-    return judged.join(left, "book_id").where("keep OR NOT any_kept").select(*cands.columns)
+    judged = written(judged, "judged-headings")
+    # Whole books without entries are few: their rows come back beside the kept ones, and no row meets a join on its book.
+    bare = judged.groupBy("book_id").agg(F.max("keep").alias("any_kept")).where("NOT any_kept").select("book_id", F.lit(True).alias("_all"))
+    back = join_key_row(judged.where("NOT keep"), bare, "book_id", ["page", "block_index"], "bare-books")
+    return judged.where("keep").select(*cands.columns).unionByName(back.select(*cands.columns))
 
 
 def compact(cands: DataFrame) -> DataFrame:
@@ -102,7 +111,19 @@ def nested(entries: DataFrame) -> DataFrame:
 
 
 def navigation(entries: DataFrame, deepest: int = 4) -> DataFrame:
-    """Entries up to a level as links, with their play order and depth of the book."""
+    """Entries up to a level, in play order. With ``id`` and ``file`` also their address."""
     kept = entries.where(F.coalesce(F.nullif(F.col("level"), F.lit(0)), F.lit(2)) <= deepest)
     n = ordered.numbered(kept, "book_id", ["page", "block_index"], "play_order")
-    return n.withColumn("href", F.concat(F.lit("text/body.xhtml#"), F.coalesce("id", F.lit("")))) if "id" in entries.columns else n
+    return n.withColumn("href", F.concat("file", F.lit("#"), "id")) if {"id", "file"} <= set(entries.columns) else n
+
+
+def titled_entries(entries: DataFrame, plan: DataFrame | None, stop_titles: tuple[str, ...] = ()) -> DataFrame:
+    """The contents of every book: its plan met with its headings, in plan order, or where it has none the headings by
+    rule. Columns of ``entries`` (with book_id, page, block_index, text, level) and ``ord``."""
+    if plan is None:
+        return without_plan(entries, stop_titles).withColumn("ord", entry_order())
+    rest = [c for c in entries.columns if c not in (*KEYS, "text", "level")]
+    planned = overlay(entries, plan).join(entries.select(*KEYS, *rest), KEYS)
+    books = plan.select("book_id", F.lit(True).alias("_has_plan")).distinct()
+    free = join_key_row(entries, books, "book_id", ["page", "block_index"], "planned-books", "left").where("_has_plan IS NULL")
+    return planned.unionByName(without_plan(free.drop("_has_plan"), stop_titles).withColumn("ord", entry_order()).select(planned.columns))

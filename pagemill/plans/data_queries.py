@@ -15,6 +15,10 @@ def p1_loaded(spark, root):
     return page_export.accepted(table(spark, root, "page_export"))
 
 
+def p1_rejected(spark, root):
+    return page_export.rejected_lines(table(spark, root, "page_export"))
+
+
 def _triples(spark, root):
     return json_tables.to_triples(table(spark, root, "recovery_caches"))
 
@@ -30,6 +34,7 @@ def _flat(name: str) -> Query:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_loaded": p1_loaded,
+    "p1_rejected": p1_rejected,
     "p2_found": p2_found,
     **{f"p2_{name}": _flat(name) for name in json_tables.TABLES},
 }
@@ -50,7 +55,9 @@ _BAD = """(NOT regexp_full_match(a, 'bk-[0-9]{8}') OR NOT regexp_full_match(b, '
 ORACLES: dict[str, str] = {
     "p1_found": f"""{_LINES} SELECT line_id, reason FROM (SELECT line_id, CASE WHEN t IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting'
  WHEN n <> 7 THEN 'columns' WHEN {_BAD} THEN 'value' END AS reason FROM u) WHERE reason IS NOT NULL""",
+    "p1_rejected": f"""{_LINES.replace("DISTINCT line_id,", "DISTINCT line_id, file_name, line_no, line AS raw,").replace("SELECT line_id, t,", "SELECT line_id, file_name, line_no, raw, t,")}
+ SELECT line_id, file_name, line_no, reason, raw FROM (SELECT *, CASE WHEN t IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 7 THEN 'columns' WHEN {_BAD} THEN 'value' END AS reason FROM u) WHERE reason IS NOT NULL""",
     "p1_loaded": _LINES.replace("DISTINCT line_id,", "DISTINCT line_id, file_name, line_no,").replace("SELECT line_id, t,", "SELECT line_id, file_name, line_no, t,")
-    + f""" SELECT DISTINCT line_id, file_name, line_no, a AS book_id, TRY_CAST(b AS INT) AS page, c AS page_role, d = 'true' AS page_continues_previous,
+    + f""" SELECT DISTINCT line_id, file_name, line_no, a AS book_id, TRY_CAST(b AS BIGINT) AS page, c AS page_role, d = 'true' AS page_continues_previous,
  e AS title, TRY_CAST(f AS DOUBLE) AS seconds, g AS text FROM u WHERE t IS NOT NULL AND quoted AND n = 7 AND NOT {_BAD}""",
 }

@@ -78,7 +78,7 @@ def normalised_status(spark, root):
 
 
 def error_classes(spark, root):
-    messages = F.element_at(F.array(*map(F.lit, ("Reply is no valid JSON", "stuck: repeats white space", "vision preprocessing failed", "timed out", ""))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    messages = F.element_at(F.array(*map(F.lit, ("Reply is no valid JSON", "stuck: repeats white space", "HTTP 500: Failed to apply Qwen2VLProcessor on data", "timed out", ""))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
     rows = table(spark, root, "events").select("event_id", messages.alias("error"), F.when(F.pmod("event_id", F.lit(7)) == 0, "length").otherwise("stop").alias("finish_reason"))
     return rows.select("event_id", replies.error_class().alias("class"))
 
@@ -239,8 +239,10 @@ ORACLES: dict[str, str] = {
     "retry_decisions": "SELECT event_id, CASE WHEN event_id % 5 - 2 <> -2 AND event_id % 6 + 1 <= 3 THEN 'retry' ELSE 'ask' END AS decision FROM events",
     "recent_pages": "SELECT user_id AS page, max(event_id) AS last_seq FROM events GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 6",
     "throttled_reports": """SELECT event_type, event_id, trim(props)[:180] AS message, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE trim(props) <> '') WHERE n % 100 = 0""",
-    "char_progress": """WITH r AS (SELECT user_id, event_id, len(props) AS n, sum(len(props)) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM events)
- SELECT user_id, event_id, total::BIGINT AS total FROM r WHERE total::BIGINT // 200 > (total::BIGINT - n) // 200""",
+    "char_progress": """WITH RECURSIVE e AS (SELECT user_id, event_id, len(props) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ f AS (SELECT user_id, event_id, i, n::BIGINT AS total, CASE WHEN n >= 200 THEN 400 ELSE 200 END AS mark, n >= 200 AS report FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.i, f.total + e.n, CASE WHEN f.total + e.n >= f.mark THEN f.mark + 200 ELSE f.mark END, f.total + e.n >= f.mark FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+ SELECT user_id, event_id, total FROM f WHERE report""",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "fingerprints": """WITH d AS (SELECT DISTINCT doc_id, hex(encode(text)) AS h FROM documents)
  SELECT doc_id, sha256(unhex(hex(encode('/mail/' || doc_id || (len(h) // 2) || (doc_id * 10))) || h[:2000] || CASE WHEN len(h) > 2000 THEN right(h, 2000) ELSE '' END)) AS fingerprint FROM d WHERE h IS NOT NULL""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +65,44 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_open_stages: list[list[str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """The tables that :func:`written` makes within this scope are deleted at its end, through Spark's file system.
+
+    For jobs that save their result inside the scope; a query that returns a table keeps its stages, which the table
+    still reads, until the application's :func:`drop_stages`."""
+    _open_stages.append([])
+    try:
+        yield
+    finally:
+        drop_paths(spark, _open_stages.pop())
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Deletes every table this application wrote outside a scope; returns their number."""
+    n = len(_loose_stages)
+    drop_paths(spark, _loose_stages)
+    _loose_stages.clear()
+    return n
+
+
+_loose_stages: list[str] = []
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written as a parquet table in the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}.parquet"
+    (_open_stages[-1] if _open_stages else _loose_stages).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -75,8 +111,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """Hint a broadcast only where Catalyst's size estimate proves ``df`` small; otherwise AQE shuffles."""
     from pyspark.sql import functions as F
 
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def checked_small(df: DataFrame, label: str = "small", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -86,6 +121,27 @@ def checked_small(df: DataFrame, label: str = "small", limit: int = BROADCAST_BY
     return broadcast_if_small(written(df, label), limit // 8)
 
 
+#: Parts into which the rows of one key are cut where a join with the key's one row would gather them.
+KEY_PARTS = 64
+
+
+def join_key_row(rows: DataFrame, small: DataFrame, key: str, spread: list[str], label: str = "small", how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of their ``key`` in ``small``: by broadcast if the written size allows it, else over
+    KEY_PARTS parts of each key, told by a hash of ``spread``, so that a key with any share of the rows is no hot key."""
+    from pyspark.sql import functions as F
+
+    held = written(small, label)
+    if estimated_bytes(held) <= BROADCAST_BYTES // 8:
+        return rows.join(F.broadcast(held), key, how)
+    parts = held.withColumn("_part", F.explode(F.array(*map(F.lit, range(KEY_PARTS)))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(KEY_PARTS)).cast("int")).join(parts, [key, "_part"], how).drop("_part")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; of a written table the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table_names(root: str) -> list[str]:
     return sorted(x[: -len(".parquet")] for x in os.listdir(root) if x.endswith(".parquet"))
 

@@ -2,7 +2,8 @@
 
 Every line is read permissively against an explicit all-string schema that keeps the raw text of rows
 with a wrong field count; then rows are classified by quoting, count and cast checks. Valid lines load as
-typed rows, all others come out with exactly one reason and their raw text. One scan, no shuffle, no Python.
+typed rows, all others come out with exactly one reason and their raw text. One scan, no Python; a shuffle by line only
+takes out repeats.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def load(lines: DataFrame, line: str = "line") -> DataFrame:
     """``lines`` with ``reason`` (null for valid lines), the typed record ``rec`` and ``raw`` (only where invalid).
 
     Null line: reason ``columns``. Empty line: one empty field, so ``columns``. Extra columns pass through; repeated
-    rows stay repeated. ``page`` is a bigint-safe int: a whole number beyond the int range stays valid and loads null.
+    rows stay repeated. ``page`` is a bigint; a whole number beyond it stays valid and loads null beside its raw text.
     """
     text = record_text(F.col(line))
     staged = lines.withColumns({
@@ -70,7 +71,7 @@ def load(lines: DataFrame, line: str = "line") -> DataFrame:
     )
     typed = F.struct(
         raw["book_id"].alias("book_id"),
-        raw["page"].try_cast("int").alias("page"),
+        raw["page"].try_cast("bigint").alias("page"),
         raw["page_role"].alias("page_role"),
         (raw["page_continues_previous"] == "true").alias("page_continues_previous"),
         raw["title"].alias("title"),
@@ -79,7 +80,7 @@ def load(lines: DataFrame, line: str = "line") -> DataFrame:
     )
     return (
         staged.withColumn("reason", reason)
-        .withColumns({"rec": F.when(F.col("reason").isNull(), typed), "raw": F.when(F.col("reason").isNotNull(), F.col(line))})
+        .withColumns({"rec": F.when(F.col("reason").isNull(), typed), "raw": F.when(F.col("reason").isNotNull() | F.col("_rec.page").try_cast("bigint").isNull(), F.col(line))})
         .drop("_text", "_rec")
     )
 
@@ -89,7 +90,15 @@ def rejected(lines: DataFrame) -> DataFrame:
     return load(lines.select("line_id", "line")).where("reason IS NOT NULL").select("line_id", "reason").distinct()
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """(line_id, file_name, line_no, reason, raw): every invalid line once, with its raw text."""
+    keep = [c for c in ("file_name", "line_no") if c in lines.columns]
+    bad = load(lines.select("line_id", *keep, "line")).where("reason IS NOT NULL").select("line_id", F.struct(*keep, "reason", "raw").alias("r"))
+    return bad.groupBy("line_id").agg(F.first("r").alias("r")).select("line_id", "r.*")
+
+
 def accepted(lines: DataFrame) -> DataFrame:
-    """The valid lines as typed rows, each once per (line_id)."""
+    """The valid lines as typed rows, each line_id once."""
     keep = [c for c in ("line_id", "file_name", "line_no") if c in lines.columns]
-    return load(lines.select(*keep, "line")).where("reason IS NULL").select(*keep, "rec.*").distinct()
+    good = load(lines.select(*keep, "line")).where("reason IS NULL").select(*keep, "rec.*")
+    return good.dropDuplicates(["line_id"])

@@ -44,10 +44,26 @@ def throttled(lines: DataFrame, key: str, order: str, text: str, every: int = 10
     return n.where(F.col("n") % every == 0)
 
 
+#: Deltas of a key that one task folds.
+FOLD_ROWS = 100_000
+
+
 def thresholds(deltas: DataFrame, key: str, order: str, chars: str, step: int = 2000) -> DataFrame:
-    """Deltas at which a key's running character count first passes a multiple of ``step``."""
-    run = ordered.running_sums(deltas.select(key, order, F.col(chars).alias("chars")), key, [order], {"total": F.coalesce("chars", F.lit(0))}, page=order, size=100_000)
-    return run.where(F.floor(F.col("total") / step) > F.floor((F.col("total") - F.coalesce("chars", F.lit(0))) / step)).select(key, order, "total")
+    """(key, order, total): the deltas that are reported. The first report comes when a key's running count reaches
+    ``step``; each report raises the mark by one step only, so a large delta is followed by reports that catch up.
+
+    The count of reports up to a row is the least, over the rows up to it, of what the mark allows: at row j at most
+    total_j // step reports can have come, and one more a row since. So reports(i) = min(i, min over j <= i of
+    total_j // step + (i - j)), a running minimum of total_j // step - j, over stretches like any running value.
+    """
+    rows = deltas.select(key, order, F.coalesce(F.col(chars), F.lit(0)).cast("bigint").alias("chars"))
+    run = ordered.running_sums(rows, key, [order], {"total": F.col("chars"), "i": F.lit(1)}, page=order, size=FOLD_ROWS)
+    run = run.withColumn("slack", -(F.floor(F.col("total") / step).cast("bigint") - F.col("i")))
+    least = ordered.running_max(run, key, order, {"s": F.col("slack")}, page=order, size=FOLD_ROWS)
+    before = F.least(F.lit(0), -F.coalesce("last_s", F.lit(0)))  # least of total_j // step - j over the rows before
+    reports = F.least(before, -F.col("slack")) + F.col("i")
+    earlier = before + F.col("i") - 1
+    return least.where(reports > earlier).select(key, order, "total")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:

@@ -104,3 +104,10 @@ def test_empty_and_odd_tables(spark, small, tmp_path):
             got = query(spark, str(tmp_path / where)).collect()
             assert len(got) == len(set(map(str, got))), name
             assert rows or not got, name
+
+
+def test_large_page_numbers_load(spark):
+    line = "bk-00000001,{},body,true,T,1.5,words"
+    rows = [(1, line.format(99999999999)), (2, line.format("9" * 30)), (3, line.format(7))]
+    got = {r.line_id: (r.reason, r.rec.page, r.raw) for r in page_export.load(spark.createDataFrame(rows, "line_id long, line string")).collect()}
+    assert got == {1: (None, 99999999999, None), 2: (None, None, rows[1][1]), 3: (None, 7, None)}

@@ -284,3 +284,65 @@ def test_package_keeps_content(spark, small):
         '<p id="block-0004">End<a epub:type="noteref" class="noteref" id="fnref-0003"', 'class="note unknown" id="fn-0003"><p>Third</p></aside>',
     ):
         assert want in row.content, (want, row.content)
+
+
+def test_thresholds_catch_up(spark):
+    from pagemill.streaming import monitors
+
+    rng = random.Random(9)
+    rows = [("a", i, n) for i, n in enumerate((9000, 1, 1))] + [("b", i, rng.choice([0, 1, 700, 1999, 2000, 5000, None])) for i in range(400)]
+    want, state = set(), {}
+    for key, i, n in rows:
+        total, mark = state.get(key, (0, 2000))
+        total += n or 0
+        if total >= mark:
+            want.add((key, i, total))
+            mark += 2000
+        state[key] = (total, mark)
+    df = spark.createDataFrame(rows, "k string, seq long, n int")
+    assert {tuple(r) for r in monitors.thresholds(df, "k", "seq", "n").collect()} == want and len([w for w in want if w[0] == "a"]) == 3
+
+
+def test_raw_vision_failures_are_fatal(spark):
+    from pagemill.operators import replies
+
+    rows = [("ValueError in Qwen3VLProcessor", ""), ("Failed to apply the transform to images", None), ("LLM vision preprocessing failed: HTTP 500", "stop"), ("Failed to apply patch", ""), (None, "LENGTH"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "error string, finish_reason string").select(replies.error_class()).collect()]
+    assert got == ["fatal_vision"] * 3 + ["other", "truncated", None]
+
+
+def test_stages_are_deleted(spark):
+    from pathlib import Path
+
+    from pagemill import runtime
+
+    folder = Path(runtime.shared_dir(spark).removeprefix("file:").replace("//", "/", 1))
+    before = set(folder.iterdir())
+    with runtime.stages(spark):
+        assert runtime.written(spark.range(5)).count() == 5 and set(folder.iterdir()) != before
+    assert set(folder.iterdir()) == before
+    runtime.written(spark.range(5))
+    assert runtime.drop_stages(spark) >= 1 and not any(p.name.startswith("stage-") for p in folder.iterdir())
+
+
+def test_hot_keys_meet_their_row_in_parts(spark, monkeypatch):
+    from pagemill import runtime
+
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 7)) AS k")
+    small = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, v int")
+    whole = sorted(map(tuple, runtime.join_key_row(rows, small, "k", ["id"], how="left").select("id", "v").collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, runtime.join_key_row(rows, small, "k", ["id"], how="left").select("id", "v").collect())) == whole and len(whole) == 1000
+
+
+def test_plan_rules_headings(spark):
+    """With a plan exactly the planned headings stay, at their planned level, also one that repeats the title."""
+    from pagemill.operators import body
+
+    block = "array<struct<type string, level int, text string, continued_from_previous boolean, note_markers array<string>>>"
+    h = lambda t: ("heading", 1, t, False, [])
+    rows = [(1, "b", 1, "T", True, [h("T"), h("U"), ("paragraph", 0, "x", False, [])], []), (2, "c", 1, "T", True, [h("T"), h("U")], [])]
+    df = spark.createDataFrame(rows, f"result_id long, book_id string, page int, title string, page_continues_previous boolean, blocks {block}, illustrations array<struct<caption string>>").withColumn("text", F.lit(""))
+    plan = spark.createDataFrame([("b", 1, 0, 2, 0), ("b", 1, 0, 3, 1)], "book_id string, page int, block_index int, level int, ord int")
+    kept = lambda p: {r.book_id: [(b.text, b.level) for b in r.kept] for r in body.kept_blocks(df, plan=p).collect()}
+    assert kept(plan) == {"b": [("T", 3), ("x", 0)], "c": [("U", 1)]} and kept(None) == {"b": [("U", 1), ("x", 0)], "c": [("U", 1)]}
