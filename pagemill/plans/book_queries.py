@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import body, covers, ordered, resume, toc
 from pagemill.operators.pages import unique_pages
-from pagemill.plans.text_queries import HEADING_SQL, PAGES_SQL, WS_SQL, cleanup_sql, paragraphs_sql, strip_sql
+from pagemill.plans.text_queries import HEADING_SQL, PAGES_SQL, WS_SQL, cleanup_sql, escape_sql, paragraphs_sql, strip_sql
 from pagemill.runtime import Query, table
 
 
@@ -266,4 +266,7 @@ ORACLES: dict[str, str] = {
  SELECT book_id, page, block_index::INT AS block_index, slot, sub::INT AS sub, kind, sum(CASE WHEN merges THEN 0 ELSE 1 END) OVER {_W} AS piece, merges FROM w""",
     "body_counters": f"""WITH {_E} SELECT book_id, page, block_index::INT AS block_index, slot, sub::INT AS sub, count(*) FILTER (kind = 'h') OVER {_W} AS heading_no, count(*) FILTER (slot = 0) OVER {_W} AS block_no,
  count(*) FILTER (kind = 'note') OVER {_W} AS note_no, count(*) FILTER (kind = 'figure') OVER {_W} AS figure_no FROM el""",
+    "note_refs": f"""WITH {_E}, w AS (SELECT *, count(*) FILTER (kind = 'note') OVER {_W} AS note_no FROM el)
+ SELECT w.book_id, w.note_no::INT AS note_no, {escape_sql(f"coalesce(nullif({strip_sql("coalesce(n.n.marker, '')")}, ''), w.note_no::VARCHAR)")} AS label, {escape_sql(strip_sql("coalesce(n.n.text, '')"))} AS text
+ FROM w JOIN n ON w.book_id = n.book_id AND w.page = n.page AND w.sub = n.ni WHERE w.kind = 'note'""",
 }

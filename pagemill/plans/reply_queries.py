@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import jsonx
 from pagemill.functions import text as tx
-from pagemill.operators import normalize, replies, toc
+from pagemill.operators import covers, normalize, replies, toc
 from pagemill.operators.pages import unique_pages
 from pagemill.plans.text_queries import PAGES_SQL, WS_SQL, cleanup_sql, strip_sql
 from pagemill.runtime import Query, shared_dir, table, written
@@ -196,8 +196,29 @@ def retry_prompts(spark, root):
     return r.select("result_id", F.length(providers.retry_prompt(providers.page_prompt(True), F.lit("no JSON"), F.col("response_text"))).alias("n"))
 
 
+def _recorded_images(p):
+    """Images as a replay gives them: the box's place in the page spelt out."""
+    from pagemill.sinks import epub
+
+    return epub.figure_requests(p).withColumn("data", F.encode(F.concat_ws(",", F.col("image_path"), F.transform("bbox", lambda v: v.cast("string"))), "utf-8"))
+
+
 def epub_files(spark, root):
-    return epub.package(table(spark, root, "books"), pages(spark, root)).select("book_id", "path", F.length("content").alias("chars"), F.sha2("content", 256).alias("digest"))
+    """Every file of every book's package, with a plan by rule, replayed images and covers."""
+    p = pages(spark, root)
+    plan = written(toc.rule_plan(toc.filtered(toc.candidates(p))), "plan")
+    chosen = covers.best(covers.verdicts_by_role(p))
+    images = p.select("book_id", F.col("page").alias("cover_page"), F.encode(F.coalesce("image_path", F.lit("")), "utf-8").alias("data"))
+    files_ = epub.package(table(spark, root, "books"), p, plan, _recorded_images(p), chosen.join(images, ["book_id", "cover_page"]).select("book_id", "data"))
+    return files_.select("book_id", "path", F.coalesce(F.length("content"), F.length("data")).alias("size"), F.sha2(F.coalesce(F.encode("content", "utf-8"), "data"), 256).alias("digest"))
+
+
+def note_refs(spark, root):
+    """Every note of every book with its reference and its text, read back from the finished body files."""
+    p = pages(spark, root)
+    text = epub.body_files(p).select("book_id", F.explode(F.regexp_extract_all("content", F.lit('(?s)href="#fn-[0-9]+" data-label="([^"]*)"[^>]*></a><span [^>]*data-wr-footernote="[^"]*"'), F.lit(0))).alias("m"))
+    read = lambda pattern: F.regexp_extract("m", pattern, 1)
+    return text.select("book_id", read(r'href="#fn-([0-9]+)"').try_cast("int").alias("note_no"), read('(?s)data-label="([^"]*)"').alias("label"), read('(?s)data-wr-footernote="([^"]*)"').alias("text"))
 
 
 def nav_items(spark, root):
@@ -215,7 +236,7 @@ def flagship(spark, root):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     json_parse, json_repair, json_backup_text, json_backup_flag, toc_salvage, json_objects, normalised_replies, normalised_status, error_classes, repaired_pages,
     stream_replies, stuck_texts, watched_stream, retry_history, retry_decisions, retry_jitter, recent_pages, throttled_reports, char_progress, event_windows,
-    fingerprints, data_urls, text_layers, image_sizes, replayed, retry_prompts, epub_files, nav_items, flagship,
+    fingerprints, data_urls, text_layers, image_sizes, replayed, retry_prompts, epub_files, note_refs, nav_items, flagship,
 )}
 
 _R = f"(SELECT * FROM {PAGES_SQL} WHERE text IS NOT NULL)"

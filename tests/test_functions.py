@@ -242,22 +242,54 @@ def test_navigation_markup(spark):
         xml.dom.minidom.parseString(text)
 
 
-def test_package_is_well_formed(spark, small, tmp_path):
+def test_package_is_whole(spark, small, tmp_path):
+    """XML parses, every link, anchor and manifest item has its file, and every note text of the tables stands in a book."""
+    import html
+    import posixpath
     import xml.dom.minidom
+    import zipfile
 
+    from pagemill.operators import toc
     from pagemill.operators.pages import unique_pages
+    from pagemill.plans import reply_queries
     from pagemill.runtime import table
     from pagemill.sinks import epub
 
-    pack = epub.package(table(spark, small, "books"), unique_pages(table(spark, small, "page_results")))
-    rows = pack.collect()
-    assert len({(r.book_id, r.path) for r in rows}) == len(rows)
-    for r in rows:
-        if r.path.endswith((".xhtml", ".opf", ".xml")):
-            xml.dom.minidom.parseString(r.content)
-    written = epub.write(spark.createDataFrame(rows), str(tmp_path)).collect()
-    assert sum(w.files for w in written) == len(rows)
-    assert epub.package(table(spark, small, "books").limit(0), unique_pages(table(spark, small, "page_results").limit(0))).count() == 0
+    books, pages = table(spark, small, "books"), unique_pages(table(spark, small, "page_results"))
+    plan = toc.rule_plan(toc.filtered(toc.candidates(pages)))
+    covers = pages.groupBy("book_id").agg(F.lit(b"jpeg").alias("data"))
+    rows = epub.package(books, pages, plan, reply_queries._recorded_images(pages), covers).collect()
+    files = {(r.book_id, r.path): r for r in rows}
+    assert len(files) == len(rows) and {b for b, _ in files} == {r.book_id for r in pages.select("book_id").distinct().collect()}
+    anchors = {k: set(re.findall(r'id="([^"]*)"', r.content)) for k, r in files.items() if r.content}
+    for (book, path), r in files.items():
+        if not path.endswith((".xhtml", ".opf", ".xml", ".ncx")):
+            continue
+        xml.dom.minidom.parseString(r.content)
+        for link in re.findall(r'(?:href|src)="([^"]*)"', r.content):
+            file, _, anchor = html.unescape(link).partition("#")
+            target = posixpath.normpath(posixpath.join(posixpath.dirname(path), file)) if file else path
+            assert (book, target) in files and (not anchor or anchor in anchors[book, target]), (path, link)
+        if path.endswith(".opf"):
+            listed = {"OEBPS/" + x for x in re.findall(r'<item [^>]*href="([^"]*)"', r.content)}
+            assert listed == {p for b, p in files if b == book and p not in ("mimetype", "META-INF/container.xml", path)}
+            assert "<dc:language>" in r.content and "dcterms:modified" in r.content and r.content.index('idref="cover-page"') < r.content.index('idref="body1"')
+    body = {}
+    for (book, path), r in files.items():
+        if path.startswith("OEBPS/text/body"):
+            body[book] = body.get(book, "") + r.content
+    n = 0
+    for r in pages.select("book_id", F.explode("notes").alias("n")).collect():
+        if (r.n.text or "").strip():
+            n += 1
+            assert f"<p>{html.escape(r.n.text.strip())}</p></aside>" in body[r.book_id]
+    assert n > 50 and all(c.count('class="noteref"') >= c.count("<aside") for c in body.values())
+    done = epub.write(spark.createDataFrame(rows, "book_id string, path string, content string, data binary"), "file://" + str(tmp_path)).collect()
+    assert sum(w.files for w in done) == len(rows)
+    with zipfile.ZipFile(done[0].path) as z:
+        assert z.testzip() is None and z.namelist()[0] == "mimetype"
+    none = epub.package(books.limit(0), pages.limit(0), plan.limit(0), reply_queries._recorded_images(pages.limit(0)), covers.limit(0))
+    assert none.count() == 0
 
 
 def test_package_keeps_content(spark, small):
@@ -271,19 +303,45 @@ def test_package_keeps_content(spark, small):
     schema = unique_pages(table(spark, small, "page_results")).schema
     block = lambda kind, level, text, *marks: {"type": kind, "level": level, "text": text, "continued_from_previous": False, "note_markers": list(marks)}
     page = {f.name: None if f.nullable else False for f in schema} | {
-        "result_id": 1, "book_id": "b", "page": 1, "text": "x", "page_role": "body", "page_continues_previous": False, "illustrations": [{"bbox": None, "caption": "A <map>", "insert_after": "Said"}],
+        "result_id": 1, "book_id": "b", "page": 1, "text": "x", "page_role": "body", "page_continues_previous": False,
+        "illustrations": [{"bbox": [0.0, 0.0, 1.0, 1.0], "caption": "A <map>", "insert_after": "Said"}, {"bbox": None, "caption": "No box", "insert_after": ""}],
         "blocks": [block("heading", 2, "Part"), block("paragraph", 0, "Said a [a] man 1 & [1] more.", "a", "1"), block("quote", 0, "Verse"), block("paragraph", 0, "End")],
         "notes": [{"marker": "a", "type": "footnote", "text": "First & note", "anchor": ""}, {"marker": "1", "type": "endnote", "text": "Second", "anchor": ""}, {"marker": "z", "type": None, "text": "Third", "anchor": "nowhere"}],
     }
-    (row,) = epub.body_files(spark.createDataFrame([tuple(page[f.name] for f in schema)], schema)).collect()
+    later = page | {"result_id": 2, "page": 2, "page_continues_previous": True, "illustrations": [], "blocks": [block("paragraph", 0, " of it"), block("paragraph", 0, "New")], "notes": [{"marker": "9", "type": "footnote", "text": "Back", "anchor": "Verse"}]}
+    later["blocks"][1]["note_markers"] = ["9"]
+    later["blocks"].pop(1)
+    later["blocks"].append(block("heading", 1, "", "9"))
+    df = spark.createDataFrame([tuple(p[f.name] for f in schema) for p in (page, later)], schema)
+    images = epub.figure_requests(df).withColumn("data", F.lit(b"x"))
+    assert [(r.result_id, r.figure_index) for r in images.collect()] == [(1, 0)]
+    (row,) = epub.body_files(df, images=images).collect()
     xml.dom.minidom.parseString(row.content)
     for want in (
-        '<h3 id="heading-0001" class="section-heading">Part</h3>', '<p id="block-0003" class="quote">Verse</p>', 'alt="A &lt;map&gt;"/><figcaption>A &lt;map&gt;</figcaption></figure>',
+        '<h3 id="heading-0001" class="section-heading">Part</h3>', '<p id="block-0003" class="quote">Verse</p>', '<img src="../images/illustration-0001.jpg" alt="A &lt;map&gt;"/><figcaption>A &lt;map&gt;</figcaption></figure>',
         '<aside epub:type="footnote" class="note footnote" id="fn-0001"><p>First &amp; note</p></aside>', '<aside epub:type="footnote" class="note endnote" id="fn-0002"><p>Second</p></aside>',
         '<p id="block-0002">Said a <a epub:type="noteref" class="noteref" id="fnref-0001" href="#fn-0001" data-label="a"', 'man 1 &amp; <a epub:type="noteref" class="noteref" id="fnref-0002"',
         '<p id="block-0004">End<a epub:type="noteref" class="noteref" id="fnref-0003"', 'class="note unknown" id="fn-0003"><p>Third</p></aside>',
+        '<p id="block-0003" class="quote">Verse</p>\n<aside epub:type="footnote" class="note footnote" id="fn-0004"><p>Back</p></aside>',
     ):
         assert want in row.content, (want, row.content)
+    assert "No box" not in row.content and "<figure" not in epub.body_files(df).collect()[0].content
+    small_files = epub.body_files(df, size=2).orderBy("path").collect()
+    assert len(small_files) == 2 and 'id="block-0005"' in small_files[1].content and 'id="fn-0004"' in small_files[1].content
+
+
+def test_continued_paragraphs_join(spark, small):
+    """A paragraph over a page end is one, unless a heading, note or figure stands between."""
+    from pagemill.operators.pages import unique_pages
+    from pagemill.runtime import table
+    from pagemill.sinks import epub
+
+    schema = unique_pages(table(spark, small, "page_results")).schema
+    block = lambda kind, text: {"type": kind, "level": 1, "text": text, "continued_from_previous": False, "note_markers": []}
+    empty = {f.name: None if f.nullable else False for f in schema} | {"book_id": "b", "page_role": "body", "page_continues_previous": True, "illustrations": [], "notes": []}
+    pages = [empty | {"result_id": i, "page": i, "blocks": [block(k, t) for k, t in blocks]} for i, blocks in enumerate(([("paragraph", "one")], [("paragraph", " two"), ("heading", "H")], [("paragraph", "three")]), 1)]
+    (row,) = epub.body_files(spark.createDataFrame([tuple(p[f.name] for f in schema) for p in pages], schema)).collect()
+    assert '<p id="block-0001">onetwo</p>' in row.content and '<p id="block-0004">three</p>' in row.content
 
 
 def test_thresholds_catch_up(spark):
