@@ -14,6 +14,7 @@ from pagemill.functions import text as tx
 
 #: A string with its end, or what is left of one, or anything up to the next string.
 STRING_OR_REST = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"?+\\?|[^"]++)'
+# Fixed value: the key position in which a doubled quote is mended.
 DOUBLED_KEY = r'([{\[,]\s*)""([A-Za-z_][A-Za-z0-9_]*)"\s*:'
 
 

@@ -87,10 +87,16 @@ def fallback_blocks(text: Column) -> Column:
     )
 
 
+# Equal blanks, and spelt-out line breaks, from which on a run is left out of a quoted reply.
+BLANK_RUN, BREAK_RUN = 9, 8
+
+
 def compact_reply(text: Column, limit: int = 4000) -> Column:
     """A model reply fit to be quoted: long runs marked, the middle left out beyond ``limit`` characters."""
-    out = F.regexp_replace(text_or_empty(text), r"([ \t\r\n])\1{8,}", "$1[blank run left out]$1")
-    out = F.regexp_replace(out, r"(?:(?:/n|\\n)[\"'`,，\s]*+){8,}", "[repeated line breaks left out]")
+    out = text_or_empty(text)
+    for blank in (" ", "\\t", "\\r", "\\n"):
+        out = F.regexp_replace(out, f"{blank}{{{BLANK_RUN},}}", f"{blank}[blank run left out]{blank}".replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n"))
+    out = F.regexp_replace(out, rf"(?:[/\\]n[\"'`,，\s]*+){{{BREAK_RUN},}}", "[repeated line breaks left out]")
     half = limit // 2
     return F.when(F.length(out) <= limit, out).otherwise(
         F.concat(F.substring(out, 1, half), F.lit("\n...[middle left out]...\n"), F.substring(out, -half, half))

@@ -115,3 +115,19 @@ def patched_notes(page_notes: Column, patch: Column) -> Column:
     """Notes after a repair: replaced where the patch replaces them, then the added ones appended."""
     none = F.array().cast(f"array<{NOTE}>")
     return F.concat(F.coalesce(patch["replace_notes"], page_notes, none), F.coalesce(patch["add_notes"], none))
+
+
+PATCH = "struct<set_title:string,set_page_continues_previous:boolean,delete_block_indices:array<int>,set_block_continued_from_previous:array<struct<block_index:int,value:boolean>>,replace_notes:array<" + NOTE + ">,add_notes:array<" + NOTE + ">>"
+
+
+def patched_page(page_blocks: Column, page_notes: Column, title: Column, continues: Column, patches: Column) -> Column:
+    """(title, continues, blocks, notes) of a page after its patches (an array of :data:`PATCH`), one after the other: each
+    sees what the one before left. Null or no patches: the page as it is."""
+    start = F.struct(title.alias("title"), continues.alias("continues"), page_blocks.alias("blocks"), page_notes.alias("notes"))
+
+    def one(page: Column, patch: Column) -> Column:
+        name = F.coalesce(patch["set_title"], page["title"])
+        goes_on = F.coalesce(patch["set_page_continues_previous"], page["continues"])
+        return F.struct(name.alias("title"), goes_on.alias("continues"), patched(page["blocks"], name, goes_on, patch).alias("blocks"), patched_notes(page["notes"], patch).alias("notes"))
+
+    return F.aggregate(F.coalesce(patches, F.array().cast(f"array<{PATCH}>")), start, one)

@@ -65,3 +65,14 @@ def nearest_smaller(rows: DataFrame, key: str, ord_: str, level: str, levels: in
     none = F.lit(None).cast(dict(rows.dtypes)[ord_])
     found = F.greatest(none, none, *(F.when(F.col(level) > i, F.col(f"last_{i}")) for i in seen))
     return out.withColumn(name, found).drop(*(f"last_{i}" for i in seen))
+
+
+def numbered_by(rows: DataFrame, key: str, order: list[str], stretch: Column, name: str) -> DataFrame:
+    """``rows`` numbered 1, 2, ... within the key by ``order``. ``stretch`` cuts a key's rows into stretches whose own order
+    is that of ``order``: a window runs inside each, and a second one over their sizes."""
+    rows = rows.withColumn(_S, stretch)
+    sizes = rows.groupBy(key, _S).agg(F.count("*").alias("_t"))
+    before = Window.partitionBy(key).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(key, _S, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    out = rows.withColumn("_w", F.row_number().over(Window.partitionBy(key, _S).orderBy(*order))).join(base, [key, _S])
+    return out.withColumn(name, F.col("_w") + F.col("_b")).drop(_S, "_w", "_b")

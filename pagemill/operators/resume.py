@@ -57,3 +57,24 @@ def find_cache(caches: DataFrame, books: DataFrame) -> DataFrame:
     by_print = b.join(k.select("cache_id", "pdf_fingerprint"), "pdf_fingerprint").select("book_id", F.lit(0).alias("class"), "cache_id")
     by_path = b.join(k.select("cache_id", "source_pdf"), "source_pdf").select("book_id", F.lit(1).alias("class"), "cache_id")
     return by_print.unionByName(by_path).groupBy("book_id").agg(F.min(F.struct("class", "cache_id")).alias("m")).select("book_id", "m.cache_id", "m.class")
+
+
+def loaded_state(caches: DataFrame, images: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """(book_id, page, image_path, result, status, message): the saved results of every cache (book_id, results
+    array<struct<page, image_path, ...>>) pointed to the images at hand (book_id, page, path).
+
+    Without ``allow_partial`` a cache whose results are not as many as its book's images is an error: it gives one row with
+    status ``count_mismatch`` and no result. A cache without results gives none.
+    """
+    n = images.groupBy("book_id").agg(F.count("*").alias("_n"))
+    rows = caches.join(n, "book_id", "left").withColumns({"_n": F.coalesce("_n", F.lit(0)), "_have": F.coalesce(F.size("results"), F.lit(0))})
+    bad = F.lit(False) if allow_partial else F.col("_have") != F.col("_n")
+    wrong = rows.where(bad).select("book_id", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("image_path"), F.get("results", F.lit(-1)).alias("result"), F.lit("count_mismatch").alias("status"), F.concat(F.lit("saved state has "), F.col("_have").cast("string"), F.lit(" pages, the document "), F.col("_n").cast("string")).alias("message"))
+    each = rows.where(~bad).select("book_id", F.explode("results").alias("result")).withColumn("page", F.col("result.page").cast("int"))
+    good = each.join(images.select("book_id", "page", "path"), ["book_id", "page"], "left").select("book_id", "page", F.coalesce("path", "result.image_path").alias("image_path"), "result", F.lit("ok").alias("status"), F.lit("").alias("message"))
+    return good.unionByName(wrong)
+
+
+def to_migrate(old: DataFrame, new: DataFrame, path: str = "path") -> DataFrame:
+    """Saved states of an older root (path within it, content) that the present root does not have."""
+    return old.join(new.select(path), path, "left_anti")

@@ -269,4 +269,9 @@ ORACLES: dict[str, str] = {
     "note_refs": f"""WITH {_E}, w AS (SELECT *, count(*) FILTER (kind = 'note') OVER {_W} AS note_no FROM el)
  SELECT w.book_id, w.note_no::INT AS note_no, {escape_sql(f"coalesce(nullif({strip_sql("coalesce(n.n.marker, '')")}, ''), w.note_no::VARCHAR)")} AS label, {escape_sql(strip_sql("coalesce(n.n.text, '')"))} AS text
  FROM w JOIN n ON w.book_id = n.book_id AND w.page = n.page AND w.sub = n.ni WHERE w.kind = 'note'""",
+    "toc_driver": f"""WITH {_CH}, n AS (SELECT *, chunk % 6 AS v, count(*) OVER (PARTITION BY book_id, chunk) AS cn, row_number() OVER (PARTITION BY book_id, chunk ORDER BY page, block_index) AS ci FROM ch),
+ r AS (SELECT *, v IN (0, 1, 5) OR (v = 2 AND cn > 1) AS reviewed FROM n), l AS (SELECT *, CASE WHEN reviewed THEN {cleanup_sql("('R ' || text)")} ELSE cleaned END AS label FROM r)
+ SELECT book_id, page, block_index, label, greatest(1, least(4, ocr_level)) AS level, CASE WHEN reviewed THEN 'seen' ELSE 'rule' END AS reason FROM l WHERE label <> '' AND NOT (v = 2 AND reviewed AND ci = cn)""",
+    "toc_chunk_ends": f"""WITH {_CH}, n AS (SELECT book_id, chunk, chunk % 6 AS v, count(*) AS n FROM ch GROUP BY 1, 2)
+ SELECT book_id, chunk, CASE v WHEN 0 THEN 1 WHEN 5 THEN 1 WHEN 4 THEN 3 ELSE 2 END AS attempts, CASE WHEN v IN (0, 1, 5) THEN 'parsed' WHEN v = 2 AND n > 1 THEN 'salvaged' ELSE 'fallback' END AS tier FROM n""",
 }

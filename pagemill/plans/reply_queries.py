@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import jsonx
 from pagemill.functions import text as tx
-from pagemill.operators import covers, normalize, replies, toc
+from pagemill.operators import covers, drivers, normalize, replies, toc
 from pagemill.operators.pages import unique_pages
 from pagemill.plans.text_queries import PAGES_SQL, WS_SQL, cleanup_sql, strip_sql
 from pagemill.runtime import Query, shared_dir, table, written
@@ -226,6 +226,90 @@ def nav_items(spark, root):
     return epub.navigation_items(e).select("book_id", "ord", "depth")
 
 
+def _contents(spark, root):
+    """Contents of every book by a reviewer whose replies are good, broken once, cut, broken twice, missing, or hold items
+    that were not asked for, by the chunk's number."""
+    cands = written(toc.filtered(toc.candidates(pages(spark, root))), "headings")
+    chunks = toc.chunked(cands, 4)
+    v = F.pmod("chunk", F.lit(6))
+    item = F.struct("page", "block_index", F.concat(F.lit("R "), F.col("text")).alias("label"), F.col("ocr_level").alias("level"), F.lit("seen").alias("reason"))
+    listed = F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items")))
+    whole = chunks.groupBy("book_id", "chunk").agg(listed.alias("whole")).withColumn("v", v)
+    stray = F.replace("whole", F.lit('{"items":['), F.lit('{"items":[{"page":99999999,"block_index":0,"label":"R no","level":1},{"page":"x","label":""},7,'))
+    first = whole.where("v <> 4").select("book_id", "chunk", F.lit(1).alias("attempt"), F.when(F.col("v") == 0, F.col("whole")).when(F.col("v") == 5, stray).otherwise("sorry").alias("response_text"))
+    second = whole.where("v IN (1, 2, 3)").select("book_id", "chunk", F.lit(2).alias("attempt"), F.when(F.col("v") == 1, F.col("whole")).when(F.col("v") == 2, F.left("whole", F.length("whole") - 3)).otherwise("no").alias("response_text"))
+    return drivers.plan_contents(cands, providers.Replay(written(first.unionByName(second), "recorded")), 4)
+
+
+def toc_driver(spark, root):
+    return _contents(spark, root)[0].select(*toc.KEYS, "label", "level", "reason")
+
+
+def toc_chunk_ends(spark, root):
+    return _contents(spark, root)[1].select("book_id", "chunk", "attempts", "tier")
+
+
+def _rounds(spark, root):
+    """Every page read in rounds from recorded replies that fail in seven ways by the page's number."""
+    p = pages(spark, root).dropDuplicates(["book_id", "page"]).where("book_id IS NOT NULL AND page IS NOT NULL")
+    base = F.to_json(F.struct("text", "page_continues_previous", "page_role", "title", "blocks", "notes", "illustrations"))
+    p = p.select("book_id", "page", "image_path", F.array().cast("array<string>").alias("images"), base.alias("base"), F.pmod("page", F.lit(7)).alias("v"))
+    each = p.select("*", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("attempt"))
+    v, n = F.col("v"), F.col("attempt")
+    fine = ((v == 0) & (n == 1)) | ((v == 1) & (n == 2)) | ((v == 6) & (n == 4))
+    text = F.when(fine, F.col("base")).when((v == 2) & (n == 1), F.concat(F.lit("oops "), F.left("base", F.lit(9)))).when((v == 3) & (n <= 2), F.left("base", F.length("base") - 20))
+    error = F.when((v == 1) & (n == 1), "timed out").when(v == 4, "HTTP 500: Failed to apply Qwen2VLProcessor").when((v == 6) & (n < 4), "stuck: repeats (cycle)")
+    kept = fine | ((v == 2) & (n == 1)) | ((v == 3) & (n <= 2)) | error.isNotNull()
+    recorded = each.where(kept).select("book_id", "page", "attempt", text.alias("response_text"), F.lit("stop").alias("finish_reason"), error.alias("error"))
+    mended = p.where("v = 2").select("book_id", "page", F.lit(1).alias("attempt"), F.lit(1).alias("correction"), F.col("base").alias("response_text"))
+    return drivers.read_pages(p, providers.Replay(written(recorded, "recorded")), correct=providers.Replay(written(mended, "recorded-corrections")))
+
+
+def page_rounds(spark, root):
+    results, ends = _rounds(spark, root)
+    return ends.join(results.select("book_id", "page", "tier"), ["book_id", "page"], "left").select("book_id", "page", "attempts", "outcome", "tier")
+
+
+def page_round_texts(spark, root):
+    return _rounds(spark, root)[0].select("book_id", "page", "text")
+
+
+def cover_driver(spark, root):
+    """The cover of every book: asked for all first pages at once, refused, failed or answered badly by the book's number,
+    then page by page."""
+    p = pages(spark, root).where("page BETWEEN 1 AND 5 AND book_id IS NOT NULL").dropDuplicates(["book_id", "page"])
+    v = F.pmod(F.regexp_extract("book_id", r"(\d+)\z", 1).cast("bigint"), F.lit(4))
+    books = p.select("book_id", v.alias("v")).distinct()
+    many = books.select("book_id", F.lit(None).cast("int").alias("page"), F.when(F.col("v") == 0, '{"cover_page": 2, "reason": "title"}').when(F.col("v") == 3, "none of them").alias("response_text"), F.when(F.col("v") == 1, "HTTP 400 BadRequestError").when(F.col("v") == 2, "Failed to apply the processor to images").alias("error"))
+    score = F.when(F.col("page_role") == "cover", '{"is_cover": "yes", "cover_quality": 0.9}').when(F.col("page_role") == "front_matter", '{"is_cover": true, "score": 0.5}').otherwise('{"is_cover": false}')
+    one = p.select("book_id", "page", score.alias("response_text"), F.lit(None).cast("string").alias("error"))
+
+    class Recorded:
+        def answer(self, requests, keys):
+            return providers.Replay(many.drop("page") if keys == ["book_id"] else one).answer(requests, keys)
+
+    return drivers.choose_covers(p.select("book_id", "page", F.coalesce("image_path", F.lit("")).alias("image")), Recorded()).select("book_id", "cover_page")
+
+
+def repaired_in_turn(spark, root):
+    """Pages after two patches, of which the second sees what the first left."""
+    p = pages(spark, root)
+    note = lambda t: F.array(F.struct(F.lit("1").alias("marker"), F.lit("footnote").alias("type"), F.lit(t).alias("text"), F.lit("").alias("anchor")))
+    patch = lambda **given: F.struct(*((given[f.split(":")[0]] if f.split(":")[0] in given else F.lit(None)).alias(f.split(":")[0]) for f in ("set_title", "set_page_continues_previous", "delete_block_indices", "set_block_continued_from_previous", "replace_notes", "add_notes"))).cast(normalize.PATCH)
+    first = patch(set_title=F.lit("none"), delete_block_indices=F.array(F.lit(0)), replace_notes=note("new"))
+    second = patch(delete_block_indices=F.array(F.lit(0)), set_page_continues_previous=F.lit(True), add_notes=note("more"))
+    r = normalize.patched_page(F.col("blocks"), F.col("notes"), F.col("title"), F.col("page_continues_previous"), F.array(first, second))
+    return p.select("result_id", r.alias("r")).select("result_id", "r.title", F.col("r.continues").alias("continues"), F.size("r.blocks").alias("n_blocks"), F.size("r.notes").alias("n_notes"))
+
+
+def repair_requests(spark, root):
+    """What a repair request shows of each page, read back from its JSON."""
+    j = providers.page_for_repair()
+    read = pages(spark, root).select("result_id", providers.repair_prompt(F.array(j), F.lit('{"risk":1}')).alias("q"), j.alias("j"))
+    shape = "struct<page:int,title:string,page_role:string,page_continues_previous:boolean,blocks:array<struct<index:int,type:string,level:int,text:string>>,notes:array<struct<text:string>>>"
+    return read.select("result_id", F.endswith("q", F.concat(F.lit('"pages":['), F.col("j"), F.lit("]}"))).alias("quoted"), F.from_json("j", shape).alias("p")).select("result_id", "quoted", "p.page", "p.title", "p.page_role", "p.page_continues_previous", F.size("p.blocks").alias("n_blocks"), F.get("p.blocks", F.size("p.blocks") - 1)["index"].alias("last_index"), F.size("p.notes").alias("n_notes"))
+
+
 def flagship(spark, root):
     """Replies to a finished contents list: parse, normalise, candidates, filter, rule plan, nesting."""
     n = written(replies.normalised(responses(spark, root)).where("status = 'ok'"), "pages")
@@ -236,12 +320,15 @@ def flagship(spark, root):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     json_parse, json_repair, json_backup_text, json_backup_flag, toc_salvage, json_objects, normalised_replies, normalised_status, error_classes, repaired_pages,
     stream_replies, stuck_texts, watched_stream, retry_history, retry_decisions, retry_jitter, recent_pages, throttled_reports, char_progress, event_windows,
-    fingerprints, data_urls, text_layers, image_sizes, replayed, retry_prompts, epub_files, note_refs, nav_items, flagship,
+    fingerprints, data_urls, text_layers, image_sizes, replayed, retry_prompts, epub_files, note_refs, nav_items, flagship, toc_driver, toc_chunk_ends, page_rounds, page_round_texts, cover_driver, repaired_in_turn, repair_requests,
 )}
 
 _R = f"(SELECT * FROM {PAGES_SQL} WHERE text IS NOT NULL)"
 _HEADS = f"list_filter(coalesce(blocks, []), lambda b: b.type = 'heading' AND {cleanup_sql('b.text')} <> '')"
 
+# Blocks whose texts stand in for a missing one.
+_SHOWN = f"len(list_filter(coalesce(blocks, []), lambda b: {cleanup_sql('b.text')} <> '')) > 0"
+
 ORACLES: dict[str, str] = {
     "json_parse": f"SELECT result_id, (result_id % 8)::INT AS variant, CASE WHEN result_id % 8 < 5 THEN text END AS text FROM {_R}",
     "json_repair": f"SELECT result_id, text FROM {_R} WHERE result_id % 8 IN (0, 3, 4)",
@@ -274,4 +361,19 @@ ORACLES: dict[str, str] = {
     "image_sizes": """SELECT l_orderkey, l_linenumber, CASE WHEN greatest(l_partkey, l_suppkey) <= 100 THEN l_partkey ELSE greatest(1, trunc(l_partkey * (100.0::DOUBLE / greatest(l_partkey, l_suppkey)))) END::INT AS width,
  CASE WHEN greatest(l_partkey, l_suppkey) <= 100 THEN l_suppkey ELSE greatest(1, trunc(l_suppkey * (100.0::DOUBLE / greatest(l_partkey, l_suppkey)))) END::INT AS height FROM lineitem""",
     "replayed": f"SELECT book_id, page, page % 3 = 0 AS failed FROM {_R}",
+    "retry_history": """WITH e AS (SELECT event_id // 7 AS target, event_id AS seq, CASE WHEN event_type = 'error' THEN 'invalid_json' WHEN event_id % 11 = 0 THEN 'fatal_vision' WHEN event_id % 4 = 0 THEN 'ok' ELSE 'other' END AS kind FROM events),
+ n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY seq) AS i FROM e), s AS (SELECT target, coalesce(min(i) FILTER (kind IN ('ok', 'fatal_vision')), 999) AS settled, max(i) AS n FROM n GROUP BY target),
+ x AS (SELECT target, least(settled, 4) AS stop, settled, n FROM s)
+ SELECT x.target, CASE WHEN x.n >= stop THEN stop ELSE x.n + 1 END::INT AS attempts, CASE WHEN x.n < stop THEN 'open' WHEN settled <= 4 THEN CASE k.kind WHEN 'ok' THEN 'accepted' ELSE 'raised' END ELSE 'asked' END AS outcome, k.kind AS last_kind
+ FROM x JOIN n k ON k.target = x.target AND k.i = least(x.stop, x.n)""",
+    "page_rounds": f"""WITH p AS (SELECT DISTINCT ON (book_id, page) *, page % 7 AS v, {strip_sql("coalesce(text, list_filter(list_transform(blocks, lambda b: b.text), lambda t: t IS NOT NULL)[1], list_filter(list_transform(notes, lambda n: n.text), lambda t: t IS NOT NULL)[1], '')")} <> '' AS has_text, {strip_sql("coalesce(text, '')")} <> '' OR len(list_filter(coalesce(illustrations, []), lambda i: len(i.bbox) = 4 AND NOT list_bool_or(list_transform(i.bbox, lambda x: x IS NULL)))) > 0 OR {_SHOWN} OR page_role IN ('blank', 'cover', 'copyright') AS usable FROM {PAGES_SQL} WHERE book_id IS NOT NULL AND page IS NOT NULL)
+ SELECT book_id, page, CASE WHEN v = 4 THEN 1 WHEN v = 3 THEN CASE WHEN has_text THEN 2 ELSE 4 END WHEN v = 5 OR NOT usable THEN 4 ELSE CASE v WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 4 END END AS attempts,
+ CASE WHEN v = 4 THEN 'raised' WHEN v = 3 THEN CASE WHEN has_text THEN 'backup' ELSE 'asked' END WHEN v = 5 OR NOT usable THEN 'asked' ELSE 'accepted' END AS outcome,
+ CASE WHEN v IN (4, 5) OR (v = 3 AND NOT has_text) OR (v <> 3 AND NOT usable) THEN NULL ELSE CASE v WHEN 2 THEN 'corrected' WHEN 3 THEN 'backup' ELSE 'parsed' END END AS tier FROM p""",
+    "cover_driver": f"""WITH p AS (SELECT DISTINCT ON (book_id, page) * FROM {PAGES_SQL} WHERE page BETWEEN 1 AND 5 AND book_id IS NOT NULL),
+ b AS (SELECT book_id, regexp_extract(book_id, '([0-9]+)$', 1)::BIGINT % 4 AS v, count(*) AS n, arg_min(page, CASE page_role WHEN 'cover' THEN 0 WHEN 'front_matter' THEN 10 END + page) FILTER (page_role IN ('cover', 'front_matter')) AS best FROM p GROUP BY 1, 2)
+ SELECT book_id, CASE WHEN n > 1 AND v = 0 THEN 2 WHEN n > 1 AND v = 3 THEN 1 ELSE coalesce(best, 1) END::INT AS cover_page FROM b""",
+    "repaired_in_turn": f"""SELECT result_id, 'none' AS title, true AS continues, CASE WHEN len(b) = 0 THEN 0 ELSE len(b) - 1 - CASE WHEN len(b) > 1 THEN 1 ELSE 0 END END::INT AS n_blocks, 2 AS n_notes FROM (SELECT result_id, coalesce(blocks, []) AS b FROM {PAGES_SQL})""",
+    "repair_requests": f"""SELECT result_id, true AS quoted, coalesce(page, 0) AS page, coalesce(title, '') AS title, coalesce(nullif(page_role, ''), 'unknown') AS page_role, coalesce(page_continues_previous, false) AS page_continues_previous,
+ len(coalesce(blocks, []))::INT AS n_blocks, CASE WHEN len(blocks) > 0 THEN len(blocks) - 1 END::INT AS last_index, len(coalesce(notes, []))::INT AS n_notes FROM {PAGES_SQL}""",
 }

@@ -114,10 +114,10 @@ def c10_slugs(spark, root):
 
 def c11_natural_order(spark, root):
     """Image paths of each book in natural order, renumbered from 1."""
-    from pyspark.sql.window import Window
+    from pagemill.sources import renderer
 
-    rows = pages(spark, root).where("image_path IS NOT NULL").select("book_id", "page", "image_path").distinct()
-    return rows.withColumn("key", tx.natural_key(F.col("image_path"))).select("book_id", "page", "key", F.rank().over(Window.partitionBy("book_id", F.floor(F.col("page") / 256)).orderBy("key")).alias("rank_in_stretch"))
+    rows = pages(spark, root).where("image_path IS NOT NULL").select("book_id", "image_path").distinct()
+    return renderer.numbered_images(rows, "image_path").select("book_id", "image_path", "page", "file")
 
 
 def c12_marker_variants(spark, root):
@@ -178,9 +178,13 @@ ORACLES: dict[str, str] = {
  SELECT result_id, block_index, CASE WHEN s = '' THEN '' WHEN b.type = 'heading' THEN '<h' || l || ' id="' || id || '" class="section-heading">' || {escape_sql('s')} || '</h' || l || '>'
  ELSE '<p id="' || id || '"' || {_CLASS} || '>' || {escape_sql('s')} || '</p>' END AS html FROM q""",
     "c10_slugs": "SELECT p_partkey, 'heading-' || lpad(p_partkey::VARCHAR, greatest(4, len(p_partkey::VARCHAR))::INT, '0') AS slug FROM part",
-    "c11_natural_order": f"""SELECT book_id, page, key, rank() OVER (PARTITION BY book_id, page // 256 ORDER BY key)::INT AS rank_in_stretch FROM
- (SELECT DISTINCT book_id, page, array_to_string(list_transform(regexp_extract_all(image_path, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p::BIGINT::VARCHAR, 12, '0') ELSE lower(p) END), '') AS key
- FROM {PAGES_SQL} WHERE image_path IS NOT NULL)""",
+    "c11_natural_order": f"""WITH k AS (SELECT DISTINCT book_id, image_path, array_to_string(list_transform(regexp_extract_all(regexp_extract(image_path, '[^/]*$'), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p::BIGINT::VARCHAR, 12, '0') ELSE lower(p) END), '') AS key
+ FROM {PAGES_SQL} WHERE image_path IS NOT NULL), n AS (SELECT book_id, image_path, (row_number() OVER (PARTITION BY book_id ORDER BY key, image_path))::INT AS page FROM k)
+ SELECT book_id, image_path, page, 'page_' || CASE WHEN page < 10000 THEN lpad(page::VARCHAR, 4, '0') ELSE page::VARCHAR END || '.jpg' AS file FROM n""",
+    "c13_parsed_notes": f"""WITH m AS (SELECT DISTINCT note_id, CASE note_id % 4 WHEN 0 THEN translate(note_id::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') WHEN 1 THEN note_id::VARCHAR WHEN 2 THEN '③' ELSE '' END || ' ' || coalesce(text, '') AS t FROM page_notes),
+ t AS (SELECT note_id, {strip_sql('t')} AS t FROM m), r AS (SELECT *, regexp_extract(t, '^(\\p{{Nd}}+|[⁰¹²³⁴⁵⁶⁷⁸⁹]+|[①②③④⑤⑥⑦⑧⑨⑩])', 1) AS raw FROM t), x AS (SELECT *, regexp_replace(substr(t, len(raw) + 1), '^{WS_SQL}+', '') AS rest FROM r), h AS (SELECT *, raw <> '' AND NOT contains(rest, chr(10)) AS has FROM x)
+ SELECT note_id, CASE WHEN NOT has THEN '' WHEN regexp_matches(raw, '^[⁰¹²³⁴⁵⁶⁷⁸⁹]') THEN translate(raw, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') WHEN regexp_matches(raw, '^[①②③④⑤⑥⑦⑧⑨⑩]') THEN strpos('①②③④⑤⑥⑦⑧⑨⑩', raw)::VARCHAR ELSE raw END AS marker,
+ {strip_sql("CASE WHEN has THEN rest ELSE t END")} AS text FROM h""",
     "c12_marker_variants": f"""WITH m AS (SELECT DISTINCT note_id, {strip_sql("coalesce(marker, '')")} AS m FROM page_notes)
  SELECT note_id, CASE WHEN m = '' THEN []::VARCHAR[] ELSE list_filter([CASE WHEN regexp_full_match(m, '[0-9]+') THEN translate(m, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') END,
  CASE WHEN regexp_full_match(m, '[1-9]|10') THEN substr('①②③④⑤⑥⑦⑧⑨⑩', m::INT, 1) END, '[' || m || ']', '〔' || m || '〕', '［' || m || '］', m], lambda f: f IS NOT NULL) END AS forms FROM m""",

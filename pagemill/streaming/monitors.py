@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from pagemill.functions import text as tx
 from pagemill.operators import ordered
@@ -71,3 +72,32 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None =
     rows = events.withWatermark("ts", late) if late else events
     w = F.window("ts", width)
     return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+class Progress(StreamingQueryListener):
+    """Rows read and batches done of every running stream, by query id, for reports while a job runs."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.ended: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows[str(event.id)] = self.batches[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + p.numInputRows
+        self.batches[str(p.id)] = p.batchId + 1
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception or ""
+
+
+def page_progress(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """(book_id, pages, done, chars, seconds): how far every book is."""
+    done = results.groupBy("book_id").agg(F.count("*").alias("done"), F.sum(F.length(tx.text_or_empty(F.col("text")))).alias("chars"), F.sum("seconds").alias("seconds"))
+    return requests.groupBy("book_id").agg(F.count("*").alias("pages")).join(done, "book_id", "left").fillna(0, ["done", "chars"]).fillna(0.0, ["seconds"])

@@ -16,26 +16,23 @@ from pagemill.functions import text as tx
 TAIL, ALL_BLANK, LEAST, STUCK = 1024, 64, 256, 128
 #: At most so many different characters make a short cycle suspicious.
 FEW_SIGNS = 3
+# Signs passed over, and units that tell a stuck stream.
 FILLER = r"[\"'`,，\[\]{}:：]+"
 UNITS = ("/n", "\\n", "/N", "\\N")
 
 
 def reason(text: Column) -> Column:
-    """``blank`` or ``cycle`` where the text so far is stuck, else empty. Null is not stuck."""
+    """``blank`` or ``cycle`` where the text so far is stuck, else empty. Null is not stuck.
+
+    What decides is cut out in generated code: the length, whether all is blank, and the last TAIL characters; only these
+    go to Python, where a batch is judged by :func:`reason_of`."""
     t = tx.text_or_empty(text)
-    tail = F.right(t, F.lit(TAIL))
-    compact = tx.squeeze(tail)
-    bare = F.regexp_replace(compact, FILLER, "")
-    unit = lambda c: (F.length(c) >= STUCK) & c.rlike(r"\A(?:(?:/n)++|(?:\\n)++|(?:/N)++|(?:\\N)++)\z")
-    few = lambda c: (F.size(F.array_distinct(F.split(c, ""))) <= FEW_SIGNS) & tx.is_repeated_unit(c)
-    return (
-        F.when((F.length(t) >= ALL_BLANK) & (tx.strip(t) == ""), "blank")
-        .when(F.length(t) < LEAST, "")
-        .when((F.length(tail) >= STUCK) & (tx.strip(tail) == ""), "blank")
-        .when(F.length(compact) < STUCK, "")
-        .when(unit(compact) | unit(bare) | few(bare) | few(compact), "cycle")
-        .otherwise("")
-    )
+
+    @F.pandas_udf("string")
+    def judged(length: pd.Series, blank: pd.Series, tail: pd.Series) -> pd.Series:
+        return pd.Series([reason_of(n, b, x) for n, b, x in zip(length.tolist(), blank.tolist(), tail.tolist())], dtype=object)
+
+    return judged(F.length(t), ~t.rlike(rf"[^{tx.WS[1:]}"), F.right(t, F.lit(TAIL)))
 
 
 def reason_of(length: int, all_blank: bool, tail: str) -> str:
