@@ -59,6 +59,17 @@ def kept_blocks(pages: DataFrame, headings: tuple[str, ...] = (), plan: DataFram
     return base.withColumn("kept", F.filter("_listed", lambda z: (z["text"] != "") & ~F.coalesce(skip(z), F.lit(False)))).withColumn("_markers", F.array_distinct(F.flatten(F.transform("_listed", lambda z: z["markers"])))).drop("_captions", "_listed", "_has_plan", "_plan")
 
 
+def _notes(kept: str = "kept") -> Column:
+    """The page's notes in order, each with the number of its block; see :func:`matched_notes`."""
+    def place(marker: Column, anchor: Column) -> Column:
+        named = (marker != "") & F.array_contains("_markers", marker)
+        fits = F.filter(kept, lambda b: (named & F.array_contains(b["markers"], marker)) | (~named & (anchor != "") & b["text"].contains(anchor)))
+        return F.try_element_at(F.transform(fits, lambda b: b["block_index"]), F.lit(1))
+
+    bare = F.transform("notes", lambda n: F.struct(*(tx.strip(tx.text_or_empty(n[c])).alias(c) for c in ("marker", "type", "text", "anchor"))))
+    return F.transform(bare, lambda n: F.struct(n["marker"].alias("marker"), place(n["marker"], n["anchor"]).alias("block_index"), n["type"].alias("type"), n["text"].alias("text"), n["anchor"].alias("anchor")))
+
+
 def matched_notes(kept: DataFrame) -> DataFrame:
     """(result_id, book_id, page, note_index, marker, block_index, type, text, anchor): the block each note belongs to,
     null for none.
@@ -66,14 +77,16 @@ def matched_notes(kept: DataFrame) -> DataFrame:
     A marker that any block of the page names decides alone; otherwise the note's anchor may stand in the block's text.
     The first kept block that matches takes the note.
     """
-    def place(n: Column) -> Column:
-        marker, anchor = tx.strip(tx.text_or_empty(n["marker"])), tx.strip(tx.text_or_empty(n["anchor"]))
-        named = (marker != "") & F.array_contains("_markers", marker)
-        fits = F.filter("kept", lambda b: (named & F.array_contains(b["markers"], marker)) | (~named & (anchor != "") & b["text"].contains(anchor)))
+    rows = kept.select("result_id", "book_id", "page", F.posexplode(_notes()).alias("note_index", "m"))
+    return rows.select("result_id", "book_id", "page", "note_index", "m.marker", "m.block_index", "m.type", "m.text", "m.anchor")
+
+
+def _figures(kept: str = "kept") -> Column:
+    def place(anchor: Column) -> Column:
+        fits = F.filter(kept, lambda b: (anchor == "") | b["text"].contains(anchor))
         return F.try_element_at(F.transform(fits, lambda b: b["block_index"]), F.lit(1))
 
-    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("notes", lambda n: F.struct(tx.strip(tx.text_or_empty(n["marker"])).alias("marker"), place(n).alias("block_index"), tx.strip(tx.text_or_empty(n["type"])).alias("type"), tx.strip(tx.text_or_empty(n["text"])).alias("text"), tx.strip(tx.text_or_empty(n["anchor"])).alias("anchor")))).alias("note_index", "m"))
-    return rows.select("result_id", "book_id", "page", "note_index", "m.marker", "m.block_index", "m.type", "m.text", "m.anchor")
+    return F.transform("illustrations", lambda i: F.struct(place(tx.text_or_empty(i["insert_after"])).alias("block_index"), tx.text_or_empty(i["caption"]).alias("text")))
 
 
 def placed_figures(kept: DataFrame) -> DataFrame:
@@ -81,12 +94,7 @@ def placed_figures(kept: DataFrame) -> DataFrame:
 
     ``text`` is the caption. A figure without anchor follows the first kept block, any other the first whose text holds its anchor.
     """
-    def place(i: Column) -> Column:
-        anchor = tx.text_or_empty(i["insert_after"])
-        fits = F.filter("kept", lambda b: (anchor == "") | b["text"].contains(anchor))
-        return F.try_element_at(F.transform(fits, lambda b: b["block_index"]), F.lit(1))
-
-    rows = kept.select("result_id", "book_id", "page", F.posexplode(F.transform("illustrations", lambda i: F.struct(place(i).alias("block_index"), tx.text_or_empty(i["caption"]).alias("text")))).alias("figure_index", "f"))
+    rows = kept.select("result_id", "book_id", "page", F.posexplode(_figures()).alias("figure_index", "f"))
     return rows.select("result_id", "book_id", "page", "figure_index", "f.block_index", "f.text")
 
 
@@ -107,17 +115,16 @@ def elements(kept: DataFrame) -> DataFrame:
     that found no block stand at the page's end. Written once to the shared folder. ``wants``: a first paragraph that continues the page before.
     ``text`` of a figure is its caption; ``level`` is that of a block, ``marker`` and ``anchor`` are those of a note.
     """
-    none = lambda name, t: F.lit(None).cast(t).alias(name)
-    end = F.lit(ordered_end())
-    blocks = kept.select("book_id", "page", "result_id", "page_continues_previous", F.explode("kept").alias("b")).select(
-        "book_id", "page", "result_id", F.col("b.block_index").alias("block_index"), F.lit(0).alias("slot"), F.lit(0).alias("sub"),
-        F.when(F.col("b.type") == "heading", "h").otherwise("p").alias("kind"), F.col("b.text").alias("text"),
-        ((F.col("b.block_index") == 0) & (F.col("b.type") == "paragraph") & (F.col("page_continues_previous") | F.col("b.continued"))).alias("wants"),
-        F.col("b.type").alias("type"), F.col("b.level").cast("int").alias("level"), none("marker", "string"), none("anchor", "string"),
-    )
-    own = lambda df, name: F.col(name) if name in df.columns else none(name, "string")
-    rest = lambda df, i, slot, kind: df.select("book_id", "page", "result_id", F.coalesce("block_index", end).alias("block_index"), F.lit(slot).alias("slot"), F.col(i).alias("sub"), F.lit(kind).alias("kind"), F.col("text"), F.lit(False).alias("wants"), own(df, "type"), none("level", "int"), own(df, "marker"), own(df, "anchor"))
-    every = blocks.unionByName(rest(matched_notes(kept), "note_index", 1, "note")).unionByName(rest(placed_figures(kept), "figure_index", 2, "figure"))
+    none, end = F.lit(None), F.lit(ordered_end())
+    shape = "array<struct<block_index:int,slot:int,sub:int,kind:string,text:string,wants:boolean,type:string,level:int,marker:string,anchor:string>>"
+    own = lambda b: (b["block_index"] == 0) & (b["type"] == "paragraph") & (F.col("page_continues_previous") | b["continued"])
+    blocks = F.transform("_kept", lambda b: F.struct(b["block_index"], F.lit(0), F.lit(0), F.when(b["type"] == "heading", "h").otherwise("p"), b["text"], own(b), b["type"], b["level"].cast("int"), none, none)).cast(shape)
+    notes = F.transform(_notes("_kept"), lambda n, i: F.struct(F.coalesce(n["block_index"], end), F.lit(1), i, F.lit("note"), n["text"], F.lit(False), n["type"], none, n["marker"], n["anchor"])).cast(shape)
+    figures = F.transform(_figures("_kept"), lambda f, i: F.struct(F.coalesce(f["block_index"], end), F.lit(2), i, F.lit("figure"), f["text"], F.lit(False), none, none, none, none)).cast(shape)
+    # The kept blocks are computed once a row, then everything of a page comes out of one array. The written table between
+    # keeps the expressions from being copied into each use.
+    rows = written(kept.select("book_id", "page", "result_id", "page_continues_previous", F.col("kept").alias("_kept"), "_markers", "notes", "illustrations"), "kept")
+    every = rows.select("book_id", "page", "result_id", F.explode(F.concat(blocks, notes, figures)).alias("x")).select("book_id", "page", "result_id", "x.*")
     return written(every, "elements")  # read by several ordered passes
 
 

@@ -29,14 +29,16 @@ def normalised(replies: DataFrame, reply: str = "response_text") -> DataFrame:
     rows = rows.withColumn("_is_object", F.coalesce(F.col("_json").startswith("{"), F.lit(False)))
     rows = rows.withColumn("_r", F.from_json(F.when(F.col("_is_object"), F.col("_json")), RAW))
     part = lambda name, kind: F.transform(F.col(f"_r.{name}"), lambda x: F.when(x.startswith("{"), F.from_json(x, kind)))
-    notes = F.transform("_r.notes", lambda x: F.struct(*(F.from_json(x, RAW_NOTE)[c].alias(c) for c in ("marker", "type", "text", "anchor")), F.when(~x.startswith("{"), x).alias("plain")))
-    back = {k: jsonx.string_value(F.col(reply), k) for k in ("text", "page_role", "title")}
+    read = F.transform("_r.notes", lambda x: F.struct(F.from_json(x, RAW_NOTE).alias("r"), F.when(~x.startswith("{"), x).alias("plain")))  # each note read once
+    notes = F.transform(read, lambda z: F.struct(*(z["r"][c].alias(c) for c in ("marker", "type", "text", "anchor")), z["plain"].alias("plain")))
+    broken = F.when(~F.col("_is_object"), F.col(reply))  # only what did not read is searched
+    back = {k: F.coalesce(jsonx.string_value(broken, k), F.lit("")) for k in ("text", "page_role", "title")}
     rows = rows.withColumns({
         "_text": F.when(F.col("_is_object"), tx.cleanup(F.col("_r.text"))).otherwise(tx.cleanup(back["text"])),
         "raw_blocks": part("blocks", RAW_BLOCK), "_notes": notes, "_figures": part("illustrations", RAW_FIGURE),
         "page_role": F.coalesce(F.nullif(F.when(F.col("_is_object"), F.col("_r.page_role")).otherwise(back["page_role"]), F.lit("")), F.lit("unknown")),
         "title": tx.strip(tx.text_or_empty(F.when(F.col("_is_object"), F.col("_r.title")).otherwise(back["title"]))),
-        "page_continues_previous": F.when(F.col("_is_object"), tx.truthy(F.col("_r.page_continues_previous"))).otherwise(jsonx.bool_value(F.col(reply), "page_continues_previous")),
+        "page_continues_previous": F.when(F.col("_is_object"), tx.truthy(F.col("_r.page_continues_previous"))).otherwise(jsonx.bool_value(broken, "page_continues_previous")),
     })
     rows = normalize.with_blocks(rows, "raw_blocks", "_text", "blocks")
     rows = rows.withColumns({

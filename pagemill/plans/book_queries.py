@@ -20,11 +20,11 @@ def _cands(spark, root):
 
 
 def _reply(cands):
-    """A reviewer's reply by rule: every other page, relabelled on some, one key outside what was asked."""
+    """A reviewer's reply by rule: relabelled on some pages, on others with keys outside what was asked."""
     return cands.select(
         *toc.KEYS, "chunk", F.when(F.pmod(F.col("page"), F.lit(3)) == 0, F.concat(F.lit("~ "), F.col("text"))).otherwise("").alias("label"),
         (F.pmod(F.col("block_index"), F.lit(6)) + F.col("page") % 2).cast("int").alias("level"), toc.entry_order().alias("ord"),
-    ).where(F.pmod(F.col("page"), F.lit(2)) == 0).withColumn("block_index", F.when(F.pmod(F.col("page"), F.lit(10)) == 0, F.col("block_index") + 1).otherwise(F.col("block_index")))
+    ).withColumn("block_index", F.when(F.pmod(F.col("page"), F.lit(10)) == 0, F.col("block_index") + 1).otherwise(F.col("block_index")))
 
 
 def toc_candidates(spark, root):
@@ -169,8 +169,7 @@ def cache_match(spark, root):
 def hinted_rebuild(spark, root):
     from pagemill.operators import normalize
 
-    p = pages(spark, root).where("size(blocks) > 0 AND text IS NOT NULL")
-    return normalize.with_rebuilt(p).select("result_id", F.posexplode("rebuilt").alias("ord", "b")).select("result_id", "ord", "b.type", "b.level", "b.text", "b.continued_from_previous")
+    return normalize.with_rebuilt(pages(spark, root)).select("result_id", F.posexplode("rebuilt").alias("ord", "b")).select("result_id", "ord", "b.type", "b.level", "b.text", "b.continued_from_previous")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
@@ -200,7 +199,7 @@ k4 AS (SELECT *, key <> '' AND coalesce(page_role, '') NOT IN ('cover','blank','
 f AS (SELECT * FROM k4 QUALIFY keep OR NOT bool_or(keep) OVER (PARTITION BY book_id))"""
 _CH = f"{_F}, ch AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY page, block_index) - 1) // 4 AS chunk FROM f)"
 _RE = f"""{_CH}, re AS (SELECT book_id, page, CASE WHEN page % 10 = 0 THEN block_index + 1 ELSE block_index END AS block_index, chunk, CASE WHEN page % 3 = 0 THEN '~ ' || text ELSE '' END AS label,
- (block_index % 6 + page % 2)::INT AS level, page * 100000::BIGINT + block_index AS ord FROM ch WHERE page % 2 = 0)"""
+ (block_index % 6 + page % 2)::INT AS level, page * 100000::BIGINT + block_index AS ord FROM ch)"""
 _OWN = f"""CASE WHEN len(coalesce(blocks, [])) > 0 THEN blocks ELSE list_transform({paragraphs_sql('text')}, lambda pp: {{'type': CASE WHEN {HEADING_SQL.format('pp')} THEN 'heading' ELSE 'paragraph' END,
  'level': CASE WHEN {HEADING_SQL.format('pp')} THEN 2 ELSE 0 END, 'text': pp, 'continued_from_previous': false, 'note_markers': []::VARCHAR[]}}) END"""
 _K = f"""p AS {PAGES_SQL}, q0 AS (SELECT * REPLACE ({_OWN} AS blocks) FROM p), q AS (SELECT *, coalesce(page_continues_previous, false) AS pcp, {_KEY.format("coalesce(title, '')")} AS tkey,
@@ -274,4 +273,7 @@ ORACLES: dict[str, str] = {
  SELECT book_id, page, block_index, label, greatest(1, least(4, ocr_level)) AS level, CASE WHEN reviewed THEN 'seen' ELSE 'rule' END AS reason FROM l WHERE label <> '' AND NOT (v = 2 AND reviewed AND ci = cn)""",
     "toc_chunk_ends": f"""WITH {_CH}, n AS (SELECT book_id, chunk, chunk % 6 AS v, count(*) AS n FROM ch GROUP BY 1, 2)
  SELECT book_id, chunk, CASE v WHEN 0 THEN 1 WHEN 5 THEN 1 WHEN 4 THEN 3 ELSE 2 END AS attempts, CASE WHEN v IN (0, 1, 5) THEN 'parsed' WHEN v = 2 AND n > 1 THEN 'salvaged' ELSE 'fallback' END AS tier FROM n""",
+    "nav_items": f"""WITH RECURSIVE {_C}, e AS (SELECT *, greatest(1, least(6, ocr_level)) AS nav_level, page * 100000::BIGINT + block_index AS ord FROM c),
+ np AS (SELECT book_id, ord, (SELECT max(o.ord) FROM e o WHERE o.book_id = e.book_id AND o.ord < e.ord AND o.nav_level < e.nav_level) AS parent FROM e),
+ d AS (SELECT book_id, ord, 0 AS depth FROM np WHERE parent IS NULL UNION ALL SELECT np.book_id, np.ord, d.depth + 1 FROM d JOIN np ON np.book_id = d.book_id AND np.parent = d.ord) SELECT book_id, ord, depth FROM d""",
 }

@@ -24,14 +24,14 @@ def pages(spark, root):
 def responses(spark, root):
     """Each page as a model reply, in eight states of disrepair by its number."""
     p = pages(spark, root)
-    base = F.to_json(F.struct("text", "page_continues_previous", "page_role", "title", "blocks", "notes", "illustrations"))
+    base = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), "page_continues_previous", "page_role", "title", "blocks", "notes", "illustrations"))
     v = F.pmod("result_id", F.lit(8)).cast("int")
     reply = (
         F.when(v == 0, base).when(v == 1, F.concat(F.lit("```json\n"), base, F.lit("\n```"))).when(v == 2, F.concat(F.lit("Here it is: "), base, F.lit(" Done.")))
         .when(v == 3, F.concat(F.lit('{""text"'), F.substring(base, 8, 1 << 30))).when(v == 4, F.replace(base, F.lit("\\n"), F.lit("\n")))
         .when(v == 5, F.left(base, F.length(base) - 20)).when(v == 6, F.concat(F.lit("["), base, F.lit("]"))).otherwise("{}")
     )
-    return p.where("text IS NOT NULL").select("result_id", "book_id", "page", v.alias("variant"), reply.alias("response_text"))
+    return p.select("result_id", "book_id", "page", v.alias("variant"), reply.alias("response_text"))
 
 
 def json_parse(spark, root):
@@ -40,9 +40,9 @@ def json_parse(spark, root):
 
 
 def json_repair(spark, root):
-    """Replies with raw line feeds and doubled key quotes, repaired so that strict reading works."""
-    r = responses(spark, root).where("variant IN (0, 3, 4)")
-    return r.select("result_id", F.get_json_object(jsonx.repair(F.col("response_text")), "$.text").alias("text"))
+    """Replies in all states after the repair, read strictly: raw line feeds and doubled key quotes no longer hinder."""
+    r = responses(spark, root)
+    return r.select("result_id", F.get_json_object(F.when(F.try_parse_json(jsonx.repair(F.col("response_text"))).isNotNull(), jsonx.repair(F.col("response_text"))), "$.text").alias("text"))
 
 
 def json_backup_text(spark, root):
@@ -95,7 +95,7 @@ def repaired_pages(spark, root):
 
 def event_lines(spark, root):
     """Each page's text as a stream of events: forty characters a line, keep-alives between, then the end and a stray."""
-    p = pages(spark, root).where("text IS NOT NULL")
+    p = pages(spark, root).withColumn("text", F.coalesce("text", F.lit("")))
     n = F.greatest(F.ceil(F.length("text") / 40).cast("int"), F.lit(1))
     piece = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit('data: {"choices":[{"delta":'), F.to_json(F.struct(F.substring(F.col("text"), i * 40 + 1, F.lit(40)).alias("content"))), F.lit("}]}")))
     lines = F.concat(piece, F.array(F.lit(""), F.lit('data: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"total":7}}'), F.lit("data: [DONE]"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')))
@@ -323,7 +323,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     fingerprints, data_urls, text_layers, image_sizes, replayed, retry_prompts, epub_files, note_refs, nav_items, flagship, toc_driver, toc_chunk_ends, page_rounds, page_round_texts, cover_driver, repaired_in_turn, repair_requests,
 )}
 
-_R = f"(SELECT * FROM {PAGES_SQL} WHERE text IS NOT NULL)"
+_R = f"(SELECT * REPLACE (coalesce(text, '') AS text) FROM {PAGES_SQL})"
 _HEADS = f"list_filter(coalesce(blocks, []), lambda b: b.type = 'heading' AND {cleanup_sql('b.text')} <> '')"
 
 # Blocks whose texts stand in for a missing one.
@@ -331,7 +331,7 @@ _SHOWN = f"len(list_filter(coalesce(blocks, []), lambda b: {cleanup_sql('b.text'
 
 ORACLES: dict[str, str] = {
     "json_parse": f"SELECT result_id, (result_id % 8)::INT AS variant, CASE WHEN result_id % 8 < 5 THEN text END AS text FROM {_R}",
-    "json_repair": f"SELECT result_id, text FROM {_R} WHERE result_id % 8 IN (0, 3, 4)",
+    "json_repair": f"SELECT result_id, CASE WHEN result_id % 8 IN (0, 3, 4) THEN text END AS text FROM {_R}",
     "json_backup_text": f"SELECT result_id, CASE WHEN result_id % 8 = 7 THEN '' ELSE text END AS text FROM {_R}",
     "json_backup_flag": f"SELECT result_id, result_id % 8 <> 7 AND coalesce(page_continues_previous, false) AS flag FROM {_R}",
     "toc_salvage": f"""WITH h AS (SELECT result_id, page, {_HEADS} AS h FROM {PAGES_SQL}), x AS (SELECT result_id, page, h, unnest(range(1, len(h))) AS i FROM h)

@@ -113,3 +113,24 @@ def test_large_page_numbers_load(spark):
     rows = [(1, line.format(99999999999)), (2, line.format("9" * 30)), (3, line.format(7))]
     got = {r.line_id: (r.reason, r.rec.page, r.raw) for r in page_export.load(spark.createDataFrame(rows, "line_id long, line string")).collect()}
     assert got == {1: (None, 99999999999, None), 2: (None, None, rows[1][1]), 3: (None, 7, None)}
+
+
+def test_no_field_is_lost(spark):
+    """Fields without a column and groups without a table come out too, linked to their parents."""
+    record = {"title": "T", "authors": ["A", None, "B"], "job": {"host": "h", "runs": [{"n": 1}, {"n": 2, "logs": ["x", "y"]}]},
+              "results": [{"page": 1, "usage": {"in": 5, "out": {"a": 1}}, "blocks": [{"type": "p", "text": "a\\nb", "style": {"bold": True, "font": {"runs": [1, 2]}}}], "illustrations": [{"bbox": [0.1, None, 1], "caption": "c"}]}, None]}
+    rows = spark.createDataFrame([(1, json.dumps(record)), (1, json.dumps(record)), (2, "{"), (3, None), (4, "[]")], "cache_id long, cache_json string")
+    t = {k: df.collect() for k, df in jt.every_table(rows).items()}
+    assert {r.cache_id for r in t["caches"]} == {1, 4} and next(r for r in t["caches"] if r.cache_id == 1).other == {"job.host": "h"}
+    assert [(r.author_index, r.value) for r in sorted(t["authors"], key=lambda r: r.author_index)] == [(0, "A"), (2, "B")]
+    (page,) = t["pages"]
+    assert page.page == 1 and page.other == {"usage.in": "5", "usage.out.a": "1"}
+    (block,) = t["blocks"]
+    assert (block.result_index, block.item_index, block.other) == (0, 0, {"style.bold": "true"}) and block.text == record["results"][0]["blocks"][0]["text"]
+    (figure,) = t["illustrations"]
+    assert figure.bbox[0] == 0.1 and figure.other == {}
+    more = {(r.ancestor, tuple(r.ordinals)): (r.kind, r.value, r.fields) for r in t["further"]}
+    assert more == {
+        ("job.runs[]", (0,)): ("object", None, {"n": "1"}), ("job.runs[]", (1,)): ("object", None, {"n": "2"}), ("job.runs[].logs[]", (1, 0)): ("string", "x", {}), ("job.runs[].logs[]", (1, 1)): ("string", "y", {}),
+        ("results[].blocks[].style.font.runs[]", (0, 0, 0)): ("number", "1", {}), ("results[].blocks[].style.font.runs[]", (0, 0, 1)): ("number", "2", {}),
+    }
