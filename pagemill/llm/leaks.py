@@ -113,14 +113,14 @@ def blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[Item]]:
     yield own
 
 
-def passages(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, limit: int = BLOCK_WORDS) -> DataFrame:
+def passages(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, limit: int = BLOCK_WORDS, offsets: bool = True) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, item_word, start, end, raw_start, raw_end): every stretch of a message's shown
     text that is in an item.
 
     ``first_word`` counts words of the shown text, ``item_word`` those of the item; ``start`` and ``end`` are characters of
     the shown text, ``raw_start`` and ``raw_end`` of the raw one, where encoded lines count whole. Null and empty texts have
     none; a message given twice gives its rows twice. A block of items, of bounded size, goes to every task; each text is
-    scanned once a block.
+    scanned once a block. Without ``offsets`` the character columns stay null.
     """
     sc = docs.sparkSession.sparkContext
 
@@ -136,6 +136,9 @@ def passages(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, limi
                     found = machine.hits(words(text))
                     if not found:
                         continue
+                    if not offsets:
+                        flat += [(doc_id, item, a, b - a, at, *[None] * 4) for item, runs in found.items() for a, b, at in runs]
+                        continue
                     spans = [m.span() for m in WORD.finditer(text)]
                     back = mail.traced(raw)
                     for item, runs in found.items():
@@ -151,13 +154,13 @@ def passages(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, limi
 
 def found(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id) of every message that holds an item or ``min_words`` consecutive words of it."""
-    return passages(docs, items, min_words).select("doc_id", "item_id").distinct()
+    return passages(docs, items, min_words, offsets=False).select("doc_id", "item_id").distinct()
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(item_id, suite, n_docs, longest, short_answer): every item, with the messages it leaks into and its longest stretch
     in words; ``short_answer``: its answer has too few words to be looked for apart."""
-    hit = passages(docs, items, min_words).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
+    hit = passages(docs, items, min_words, offsets=False).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
     n = F.size(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     own = items.groupBy("item_id", "suite").agg(F.max((n > 0) & (n < min_words)).alias("short_answer"))
     return own.join(hit, "item_id", "left").fillna(0, ["n_docs", "longest"]).select("item_id", "suite", "n_docs", "longest", "short_answer")
