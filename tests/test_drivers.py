@@ -236,3 +236,30 @@ def test_patches_in_turn(spark):
     patches = F.expr(f"array({patch('cast(null as string)', 1)}, {patch(repr('U'), 0)}, {patch('null', 1)})").cast(f"array<{normalize.PATCH}>")
     r = df.select(normalize.patched_page(F.col("blocks"), F.col("notes"), F.col("title"), F.lit(False), patches).alias("r")).collect()[0].r
     assert r.title == "U" and [b.text for b in r.blocks] == ["U"]  # the heading is the title by then, and stays
+
+
+def test_streams_as_a_table(spark):
+    import zlib
+
+    content = b"<</Length 9>> stream\nBT (Hello) Tj ET\nendstream <</Filter/FlateDecode>> stream\n" + zlib.compress(b"/I Do /J Do") + b"\nendstream"
+    df = spark.createDataFrame([("d", bytearray(content)), ("e", None)], "id string, content binary")
+    got = [tuple(r) for r in df.lateralJoin(files.PdfStreams(F.col("content").outer())).orderBy("id", "ord").select("id", "ord", "inflated", "text_show_ops", "text_bytes", "image_draw_ops").collect()]
+    assert got == [("d", 0, False, 1, 6, 0), ("d", 1, True, 0, 0, 2)]
+
+
+def test_images(spark):
+    """Recorded images answer; without an imaging library figures are not cut and all else stays as it is."""
+    from pagemill.sources import images
+    from pagemill.streaming import retry
+
+    requests = spark.createDataFrame([(1, "b", 1, 0, [0.0, 0.0, 0.5, 0.5]), (2, "b", 2, 0, [0.0, 0.0, 1.0, 1.0])], "result_id long, book_id string, page int, figure_index int, bbox array<double>")
+    pages = spark.createDataFrame([("b", 1, bytearray(b"no image")), ("b", 2, None)], "book_id string, page int, data binary")
+    recorded = images.Recorded(spark.createDataFrame([(1, 0, bytearray(b"x")), (9, 0, bytearray(b"y"))], "result_id long, figure_index int, data binary"))
+    assert [(r.result_id, bytes(r.data)) for r in recorded.figures(requests, pages).collect()] == [(1, b"x")]
+    assert images.Library().figures(requests, pages).count() == 0
+    assert {bytes(r.data) for r in images.Library().covers(pages.where("data IS NOT NULL")).collect()} == {b"no image"} and recorded.covers(pages).count() == 2
+    urls = images.data_urls(pages.withColumn("suffix", F.lit(".png"))).orderBy("page").collect()
+    assert urls[0].url == "data:image/png;base64,bm8gaW1hZ2U=" and urls[1].url is None
+    moved = images.shifted(pages.withColumn("box", retry.jitter_box(F.lit("p"), F.col("page"), F.lit(1)))).orderBy("page").collect()
+    assert bytes(moved[0].data) == b"no image" and moved[1].data is None
+    assert images.rectangle([0.1, 0.2, 0.1, 2.0], 100, 50) == (10, 10, 11, 50)
