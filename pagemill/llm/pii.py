@@ -786,6 +786,9 @@ def entities(starts, ends, spots, y, clean: str, body: int) -> list[Entity]:
             a += 1
         while b >= a and not any(c.isalnum() for c in text(b)):
             b -= 1
+        # A street told to go on without having begun begins with the number right before it.
+        if a <= b and kind == "address" and y[i] == I_ADDR and a > 0 and not y[a - 1] and (a < 2 or KIND[y[a - 2]] != "address") and text(a - 1)[:1].isdigit() and clean[ends[a - 1] : starts[a]].isspace() and not any(c.isdigit() for c in clean[starts[a] : ends[b]]):
+            a -= 1
         if a <= b and (kind != "address" or any(c.isdigit() for c in clean[starts[a] : ends[b]])):
             out.append(Entity(body, int(starts[a]), int(ends[b]), kind))
     return out

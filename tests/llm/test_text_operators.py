@@ -493,6 +493,18 @@ def test_lattice_against_passes_along_each_chain():
     assert np.allclose(lattice.belief(), want, atol=1e-4) and np.allclose(lattice.belief(some), want[some], atol=1e-4)
 
 
+def test_streets_begin_with_their_number():
+    """A street whose number was left out by a narrow margin begins with it; a town below its street begins nothing."""
+    def found(text, labels):
+        c = pii.chain(text, 0, len(text))
+        return [(v.kind, text[v.start : v.end]) for v in pii.entities(c.starts, c.ends, c.spots, labels, text, 0)]
+
+    i, b = pii.I_ADDR, pii.B_ADDR
+    assert found("at 37 Alder St.", [0, 0, i, i, i]) == [("address", "37 Alder St")]
+    assert found("3 Quay Road\n25405 Dungate", [b, i, i, 0, i]) == [("address", "3 Quay Road")]
+    assert found("the Alder Road", [0, i, i]) == [] and found("no 7, Alder Road", [0, 0, 0, i, i]) == []
+
+
 def test_word_nodes():
     """Equal, inflected and similar words of one message share a node; words of other messages and short ones do not."""
     types = pii.Types(np.zeros((pii.BUCKETS, len(pii.LABELS)), np.float32))
