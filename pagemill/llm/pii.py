@@ -66,7 +66,15 @@ NUMBER = (
     r"|\b0\d{4}\s+\d{3}\s+\d{3}\b|\(\d{3}\)\s+\d{3}-\d{4}|\b0\d{2,4}\s+\d{4,6}-\d{2,4}|\b\d\d(?:\s+\d{3}){3}\b"
     r"|\+?\(?\d[\d ().\-/:]*\d(?:[A-Z]\b)?|\+?\d+[A-Z]?"
 )
-TOKENS = re.compile(rf"({ADDRESS})|({NUMBER})|([^\W\d_]+(?:['’-][^\W\d_]+)*|\w+)|([^\w\s]+)")
+WORDS_AND_SIGNS = r"([^\W\d_]+(?:['’-][^\W\d_]+)*|\w+)|([^\w\s]+)"
+TOKENS = re.compile(rf"({ADDRESS})|({NUMBER})|{WORDS_AND_SIGNS}")
+#: What every address, and every number, holds; without it their patterns are not tried.
+AT_SIGN, DIGIT = re.compile(r"@|(?<![^\s\[({<])(?:at|AT)(?![^\s\])}>])"), re.compile(r"\d")
+NEVER = "((?!))"
+BY_SIGNS = {
+    (True, True): TOKENS, (True, False): re.compile(rf"({ADDRESS})|{NEVER}|{WORDS_AND_SIGNS}"),
+    (False, True): re.compile(rf"{NEVER}|({NUMBER})|{WORDS_AND_SIGNS}"), (False, False): re.compile(rf"{NEVER}|{NEVER}|{WORDS_AND_SIGNS}"),
+}
 MAIL, NUMERIC, WORD, SIGN = 1, 2, 3, 4
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*")
 HOT = re.compile(r"[\d@]|[\[({<]\s?(?:at|AT)\b|[ \n](?:at|AT)[ \n][\w-]+(?:\.[a-z]|[ \n]?[\[({]?(?:dot|DOT)\b)")
@@ -281,8 +289,14 @@ def segments(clean: str, lo: int, hi: int) -> list[tuple[int, str, bool]]:
 
 def scanned(text: str) -> tuple[list[str], list[int], list[int], list[int], list[int]]:
     """Tokens of a segment with their kinds, starts, ends and spots."""
-    found = list(TOKENS.finditer(text))
+    found = list(BY_SIGNS[AT_SIGN.search(text) is not None, DIGIT.search(text) is not None].finditer(text))
     starts, ends = [m.start() for m in found], [m.end() for m in found]
+    if "\n" not in text:
+        spots = [4 if a == b else 0 for a, b in zip([0, *ends], starts)]
+        if spots:
+            spots[0] = 1
+            spots[-1] |= 2
+        return [m[0] for m in found], [m.lastindex for m in found], starts, ends, spots
     first = [1, *(1 if "\n" in text[a:b] else 0 for a, b in zip(ends, starts[1:]))]
     spots = [f | 2 * last | (4 if not f and a == b else 0) for f, last, a, b in zip(first, [*first[1:], 1], [0, *ends], starts)]
     return [m[0] for m in found], [m.lastindex for m in found], starts, ends, spots
@@ -809,8 +823,8 @@ class Finder:
     def line(self, text: str) -> np.ndarray:
         """(type, spot, start, end) of the tokens of a segment."""
         tokens, kinds, starts, ends, spots = scanned(text)
-        type_id = self.types.id
-        got = np.array([[type_id(t if g == WORD else type_key(t, g)) for t, g in zip(tokens, kinds)], spots, starts, ends])
+        type_id, known = self.types.id, self.types.ids.get
+        got = np.array([[(known(t) or type_id(t)) if g == WORD else type_id(type_key(t, g)) for t, g in zip(tokens, kinds)], spots, starts, ends])
         if len(self.lines) < REMEMBERED and len(text) <= 200:
             self.lines[text] = got
         return got

@@ -533,6 +533,12 @@ def test_tokens_do_not_depend_on_segments():
     part = pii.chain(text, 0, len(text))
     assert "ann\nat home dot example" in part.tokens and "AB 12 34 56\nC" in part.tokens and [text[a:b] for a, b in zip(part.starts, part.ends)] == [t if t != "\n" else "" for t in part.tokens]
     assert pii.TOKENS.match("me at 555.555.0154")[0] == "me"
+    rng = random.Random(12)
+    pool = ["ann", "at", "AT", "home", ".", "dot", "example", "@", "12", "+44", " ", " ", "(", ")", "[at]", "A1234567", "O'Neil", "é", "_x", "-", "\n"]
+    for _ in range(3000):  # patterns tried only where their signs stand give the same tokens
+        line = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))
+        found = list(pii.TOKENS.finditer(line))
+        assert pii.scanned(line)[:2] == ([m[0] for m in found], [m.lastindex for m in found]), line
 
 
 @pytest.fixture(scope="module")
