@@ -151,7 +151,11 @@ def read_pages(requests: DataFrame, model: providers.ChatModel, prompt: str | No
         fresh = wrong.select(*keys, "response_text", "message").join(state.select(*keys, "corrected"), keys).where(~F.array_contains("corrected", tx.strip(F.col("response_text"))))
         fixed_keys = [*keys, "correction"]
         asked = fresh.select(*keys, F.lit(1).alias("correction"), providers.correction_prompt(F.col("message"), F.col("response_text")).alias("prompt"))
-        fixed = written(replies.normalised(correct.answer(asked, fixed_keys)).where("tier = 'parsed' AND status = 'ok' AND error IS NULL"), "page-corrected")
+        asked = written(asked, "page-corrections")
+        if asked.isEmpty():
+            fixed = seen.where("false")
+        else:
+            fixed = written(replies.normalised(correct.answer(asked, fixed_keys)).where("tier = 'parsed' AND status = 'ok' AND error IS NULL"), "page-corrected")
         rows = state.join(seen.select(*keys, "kind", tx.strip(F.coalesce("response_text", F.lit(""))).alias("reply"), "message", F.lower(F.coalesce("finish_reason", F.lit(""))).alias("finish"), (F.col("tier") == "backup").alias("backup_ok")), keys)
         rows = rows.join(fixed.select(*keys, F.lit(True).alias("correction_ok")), keys, "left").fillna(False, ["correction_ok"])
         after = written(stepped(rows, workers, auto), "pages-after")
