@@ -28,9 +28,18 @@ SURROGATE = re.compile("[\ud800-\udfff]")
 #: Under these keys a value that is not a list counts as a list of one.
 LISTS = frozenset({"results[].blocks", "results[].notes", "results[].illustrations", "results[].blocks[].note_markers"})
 
+#: Signs of a key that would read as part of a path, and how a path names them.
+SIGNS = re.compile("[~.\\[\ud800-\udfff]")
+SIGN_NAMES = {"~": "~0", ".": "~1", "[": "~2"}
+
 Triple = tuple[str, tuple[int, ...], str, str | None]
 
 
+def step(key: str) -> str:
+    """A key as a path names it: no two keys have one name, and a key that holds dots or brackets is no level."""
+    return SIGNS.sub(lambda m: SIGN_NAMES.get(m[0]) or f"~{ord(m[0]):x}", key) or "~"
+
+
 def triples(text: str, lists: frozenset[str] = LISTS) -> list[Triple] | None:
     """(path, ordinals, kind, value) of one JSON text in document order; None if it is not valid JSON.
 
@@ -91,7 +100,7 @@ def triples(text: str, lists: frozenset[str] = LISTS) -> list[Triple] | None:
                     out.append((path, ords, "null" if word == "null" else "boolean", None if word == "null" else word))
         elif state in ("first_key", "key"):
             if string is not None:
-                key = string[1:-1] if "\\" not in string else json.loads(string)
+                key = step(string[1:-1] if "\\" not in string else json.loads(string))
                 seen = stack[-1][3]
                 if key in seen:  # a repeated key: drop what the earlier one gave
                     at = f"{stack[-1][1]}.{key}" if stack[-1][1] else key
@@ -208,12 +217,11 @@ def flat_table(parsed: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("cache_id", *keys).agg(*aggs).where("kind <> 'null'")
 
 
-def further_groups(parsed: DataFrame) -> DataFrame:
-    """(cache_id, ancestor, ordinals, kind, value, fields): the elements of every repeated group that has no table of its
-    own, one row each, with their fields by path. ``ordinals`` is the element's key; without its last part it is its
-    parent's."""
-    group = ancestor_of(F.col("path"))
-    rows = parsed.withColumn("ancestor", group).where(~F.col("ancestor").isin(*(a for a, _ in TABLES.values()), *FOLDED))
+def elements(parsed: DataFrame, wanted: Column) -> DataFrame:
+    """(cache_id, ancestor, ordinals, kind, value, fields): every element of the repeated groups that ``wanted`` tells by
+    ``ancestor``, pivoted into one row with its fields by path. ``ordinals`` is the element's key; without its last part
+    it is its parent's. Null elements give no row; positions count them."""
+    rows = parsed.withColumn("ancestor", ancestor_of(F.col("path"))).where(wanted)
     rows = rows.withColumn("column", column_of(F.col("path"), F.col("ancestor")))
     own = F.col("column") == ""
     return rows.groupBy("cache_id", "ancestor", "ordinals").agg(
@@ -222,21 +230,27 @@ def further_groups(parsed: DataFrame) -> DataFrame:
     ).where("kind <> 'null'")
 
 
+def further_groups(parsed: DataFrame) -> DataFrame:
+    """The :func:`elements` of every repeated group that has no table of its own."""
+    return elements(parsed, ~F.col("ancestor").isin(*(a for a, _ in TABLES.values()), *FOLDED))
+
+
 def every_table(records: DataFrame) -> dict[str, DataFrame]:
     """All tables of the records and ``further``, from triples that are parsed and written once."""
     parsed = written(to_triples(records, root=None), "triples")
     return {name: flat_table(parsed, name) for name in TABLES} | {"further": further_groups(parsed)}
 
 
+#: Kind of a child record -> its table.
+CHILDREN = {"block": "blocks", "note": "notes", "illustration": "illustrations", "marker": "block_markers"}
+
+
 def children(parsed: DataFrame) -> DataFrame:
-    """(cache_id, result_index, kind, item_index, sub_index) of every block, note, illustration and block note marker."""
-    elements = {"block": "blocks", "note": "notes", "illustration": "illustrations", "marker": "block_markers"}
-    kind = F.create_map(*[F.lit(x) for k, t in elements.items() for x in (TABLES[t][0], k)])
-    return (
-        parsed.where(F.col("path").isin(*(TABLES[t][0] for t in elements.values())) & (F.col("kind") != "null"))
-        .select(
-            "cache_id", F.get("ordinals", F.lit(0)).alias("result_index"), F.element_at(kind, F.col("path")).alias("kind"),
-            F.get("ordinals", F.lit(1)).alias("item_index"), F.coalesce(F.get("ordinals", F.lit(2)), F.lit(-1)).alias("sub_index"),
-        )
-        .distinct()
+    """(cache_id, result_index, kind, item_index, sub_index) of every block, note, illustration and block note marker: the
+    keys of their groups' rows, grouped and pivoted in one pass. What the keys do not need of a row is not computed."""
+    kinds = {TABLES[t][0]: k for k, t in CHILDREN.items()}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return elements(parsed, F.col("ancestor").isin(*kinds)).select(
+        "cache_id", F.get("ordinals", F.lit(0)).alias("result_index"), F.element_at(kind, F.col("ancestor")).alias("kind"),
+        F.get("ordinals", F.lit(1)).alias("item_index"), F.coalesce(F.get("ordinals", F.lit(2)), F.lit(-1)).alias("sub_index"),
     )

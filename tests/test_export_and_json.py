@@ -134,3 +134,21 @@ def test_no_field_is_lost(spark):
         ("job.runs[]", (0,)): ("object", None, {"n": "1"}), ("job.runs[]", (1,)): ("object", None, {"n": "2"}), ("job.runs[].logs[]", (1, 0)): ("string", "x", {}), ("job.runs[].logs[]", (1, 1)): ("string", "y", {}),
         ("results[].blocks[].style.font.runs[]", (0, 0, 0)): ("number", "1", {}), ("results[].blocks[].style.font.runs[]", (0, 0, 1)): ("number", "2", {}),
     }
+
+
+def test_odd_keys_are_no_levels(spark):
+    """Keys that read like paths, empty ones and halves of characters name plain fields; children are the keys of the pivoted groups."""
+    page = {"blocks": ["a", None, {"text": "b", "note_markers": ["1", None]}], "blocks[]": "x", "notes": "n", "blocks[].note_markers[]": 5, "usage": {"in": 1}, "usage.in": 2, "~": 3, "~0": 4, "\ud800": 5, "\ud801": 6, "": {"notes": ["no"]}}
+    record = {"results": [page, None, {"illustrations[]": 1}], "results[].notes[]": ["no"], "": {"results": [{"notes": ["no"]}]}, "results[]": {"blocks": ["no"]}}
+    text = json.dumps(record)
+    parsed = jt.to_triples(spark.createDataFrame([(1, text), (2, "{"), (3, "[]")], "cache_id long, cache_json string"), root=None)
+    got = [tuple(r) for r in jt.children(parsed).collect()]
+    assert sorted(got) == sorted((1, i, kind, j, m) for i, kind, j, m in expected(text))
+    tables = {"block": "blocks", "note": "notes", "marker": "block_markers"}
+    assert {r[1:] for r in got} == {(r.result_index, k, r.item_index, r["sub_index"] if k == "marker" else -1) for k, t in tables.items() for r in jt.flat_table(parsed, t).collect()}
+    (first, _) = sorted(jt.flat_table(parsed, "pages").collect(), key=lambda r: r.result_index)
+    assert first.other == {"blocks~2]": "x", "blocks~2]~1note_markers~2]": "5", "usage.in": "1", "usage~1in": "2", "~0": "3", "~00": "4", "~d800": "5", "~d801": "6"}
+    block = jt.elements(parsed, jt.F.col("ancestor") == "results[].blocks[]").where("kind = 'object'").collect()
+    assert [(r.ordinals, r.fields) for r in block] == [([0, 2], {"text": "b"})]
+    plan = jt.children(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [cache_id" in plan and "ancestor" in plan  # by group, not by a list of paths
