@@ -147,6 +147,64 @@ def test_candidates_do_not_depend_on_blocks(spark):
     assert [f for _, f in sorted(got["c1og"])] == ["elog", "clog"] and [f for _, f in got["b1" + "bi" * 29]] == ["bi" * 30] and got["sn0w"][0] == (0, "snow")
 
 
+def test_learned_edits_lose_nothing():
+    """With learned costs, too, the search finds every candidate with a positive score."""
+    import math
+
+    rng = random.Random(9)
+    letters = "abcdnrimuxy"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(300)})
+    counts = {w: int(10 ** rng.uniform(0.5, 7)) for w in words}
+    trie = lexicon.Trie(list(counts.items()))
+    for costs in (lexicon.Costs({("x", "y"): 4.0, ("a", "x"): 9.0}, {"n": 5.0}, {"y": 6.0}, 12.0), lexicon.Costs({("m", "b"): 3.0}, {}, {}, math.inf), lexicon.Costs(other=7.0)):
+        for q in rng.sample(words, 60) + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(40)]:
+            n = rng.choice([1, 2, 50])
+            gain = {w: math.log(c) - lexicon.channel_cost(w, q, costs) - math.log(n) for w, c in counts.items()}
+            want = {w for w in words if w != q and brute_distance(w, q) <= lexicon.edit_limit(q) and gain[w] > 0}
+            got = {w for w, _ in lexicon.suggestions(trie, q, n, costs)}
+            assert want <= got and all(gain[w] > 0 for w in got), (q, n)
+
+
+STOCK = "mother father other whether weather neither nothing another together brother farther leather feather gather either rather mathematics method panther anthem garden candle evening kitchen lantern winter silver window".split()
+
+
+def misread_corpus(edits, rate, n=2000):
+    """Counts of a vocabulary in which ``edits`` take place at every site at a rate, and of a few genuine rare neighbours."""
+    counts = {w: n + 10 * k for k, w in enumerate(STOCK)} | {"gander": 3, "winder": 5, "mitten": 9, "farmer": 4}
+    want = {}
+    for w in STOCK:
+        for a, b in edits:
+            for i in range(1, len(w) - 1):
+                if w.startswith(a, i) and (form := w[:i] + b + w[i + len(a) :]) not in counts:
+                    counts[form], want[form] = max(1, int(counts[w] * rate)), w
+    return counts, want
+
+
+@pytest.mark.parametrize("edits, rate", [([("h", "b")], 1 / 200), ([("h", "b")], 1 / 1500), ([("h", "k"), ("t", "")], 1 / 300), ([("", "j")], 1 / 200)])
+def test_edits_that_no_list_knows(spark, edits, rate):
+    """A confusion that the corpus shows at many words is followed though no list names it; genuine rare words stay."""
+    counts, want = misread_corpus(edits, rate)
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.word: r.fix for r in lexicon.corrections(df).where("rank = 0").collect()}
+    assert got == want and len(want) >= 15
+    assert got == {r.word: r.fix for r in lexicon.corrections(df, block=3, shard=2).where("rank = 0").collect()}
+
+
+def test_seldom_edits_stay(spark):
+    """Where few words show an edit it is no confusion, and without any the cost is the set one."""
+    counts, _ = misread_corpus([], 0)
+    odd = counts | {"motber": 2, "fatber": 1, "gardem": 1}
+    df = spark.createDataFrame(list(odd.items()), "word string, n long")
+    assert lexicon.corrections(df).isEmpty()
+    assert lexicon.learned_costs(df, lexicon.vocabulary(df)) == lexicon.UNLEARNED
+    hist = [(10, 100, 100 * 1500.0)]
+    ones = np.ones(4)
+    assert lexicon.edit_rate(1500 * ones, ones, hist) is None
+    many = np.ones(80)
+    assert 0.0019 < lexicon.edit_rate(1500 * many, 3 * many, hist) <= 0.002  # the median share, where most sites show it
+    assert lexicon.edit_rate(1500 * np.ones(9), 200 * np.ones(9), hist) < 1e-4  # genuine words at a few sites
+
+
 def test_words_of_capitals_count(spark):
     pages = spark.createDataFrame([("THE 0LD LAMP\nthe lamp stands",), ("THE OLD LAMP\nan old lamp",), (None,), ("",)], "text string")
     assert {r.word: r.n for r in lexicon.word_counts(pages).collect()} == {"the": 1, "lamp": 2, "stands": 1, "an": 1, "old": 1, "0ld": 1}
